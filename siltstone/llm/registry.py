@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, language_id, near_dedup, packing, quality, secrets, topk, toxicity
+from siltstone.llm import decontaminate, html_extract, language_id, near_dedup, packing, quality, secrets, token_counts, topk, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -14,12 +14,14 @@ def pipeline(spark, sf_dir: str):
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_html_extraction": html_extract.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_quality": quality.query,
     "op6_secret_scan": secrets.query,
     "op7_exact_topk": topk.query,
     "op8_decontamination": decontaminate.query,
+    "op9_token_counts": token_counts.query,
     "op10_near_dedup": near_dedup.query,
     "pipeline": pipeline,
 }
