@@ -32,16 +32,28 @@ def detected(c: Column, least: int = 8) -> Column:
     return F.when(shaped & (F.length(s) >= least), kind)
 
 
+def _inner(length: Column, size: int, stride: int) -> Column:
+    """How many windows start at a stride and end before the end."""
+    return F.ceil((length - size) / stride).cast("int")
+
+
 def window_starts(length: Column, size: int, stride: int) -> Column:
     """Starts at each stride while the window ends inside, then the last window, anchored at the end; whole if shorter."""
-    inner = F.filter(F.sequence(F.lit(0), F.greatest(length, F.lit(1)), F.lit(stride)), lambda s: s + size < length)
-    return F.when(length <= 0, F.array().cast("array<int>")).when(length <= size, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(inner, F.array(length - size))))
+    inner = F.sequence(F.lit(0), (F.greatest(_inner(length, size, stride), F.lit(1)) - 1) * stride, F.lit(stride))
+    return F.when(length <= 0, F.array().cast("array<int>")).when(length <= size, F.array(F.lit(0))).otherwise(F.concat(inner, F.array(length - size)))
 
 
 def windows(c: Column, size: int, stride: int) -> Column:
-    """Array of (start, end, text)."""
-    n = F.length(c)
-    return F.transform(window_starts(n, size, stride), lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"), F.substr(c, s + 1, F.lit(size)).alias("text")))
+    """Array of (start, end, text).
+
+    Texts are put together from neighbouring pieces of one stride: a substring at a place costs as much as all that is
+    before it, and what a lambda refers to is evaluated for each element."""
+    n, near = F.length(c), -(-size // stride)
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    zipped = F.slice(F.arrays_zip(*[F.slice(pieces, j + 1, F.greatest(F.size(pieces) - j, F.lit(0))).alias(f"p{j}") for j in range(near)]), F.lit(1), F.greatest(_inner(n, size, stride), F.lit(0)))
+    window = lambda z, i: F.struct((i * stride).alias("start"), (i * stride + size).alias("end"), F.substring(F.concat_ws("", *[z[f"p{j}"] for j in range(near)]), 1, size).alias("text"))
+    last = F.struct(F.greatest(n - size, F.lit(0)).alias("start"), n.alias("end"), F.right(c, F.lit(size)).alias("text"))
+    return F.when(n <= 0, F.array().cast("array<struct<start:int,end:int,text:string>>")).when(n <= size, F.array(last)).otherwise(F.concat(F.transform(zipped, window), F.array(last)))
 
 
 def window_texts(c: Column, size: int, stride: int, most: int = 8, whole: bool = True) -> Column:
@@ -59,9 +71,8 @@ def edge_windows(c: Column, size: int = 128) -> Column:
 
 
 def kmers(c: Column, k: int) -> Column:
-    """All k-mers in order; none if shorter."""
-    n = F.length(c)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-mers in order; none if shorter. One pass of a pattern that looks ahead."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def middle(c: Column, size: int = 160) -> Column:

@@ -53,7 +53,7 @@ def labels_of(c: Column, pattern: str) -> Column:
 
 def split_list(c: Column) -> Column:
     """Elements of a list written with pipes or commas; blanks and '-' go."""
-    parts = F.transform(F.split(F.translate(F.coalesce(c, F.lit("")), "|", ","), ","), F.trim)
+    parts = F.transform(F.split(F.translate(F.coalesce(c, F.lit("")), "|", ","), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: (x != "") & (x != "-"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.sequence import kmers
 from siltstone.operators.text_search import top
@@ -52,7 +53,7 @@ def longest_common_substring(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 if one text holds the other; else the larger of the longest common substring over the shorter length and the
     containment of 5-mers; 0 for empty texts."""

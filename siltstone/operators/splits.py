@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.sequence import kmers
 from siltstone.operators.text_search import top
 
 
@@ -71,7 +72,7 @@ def containment(queries: DataFrame, texts: DataFrame, shingle: int = 24) -> Data
     them, are an equi-join; only such pairs are compared whole. Queries shorter than the shingle meet all texts."""
     long = queries.where(F.length("query") >= shingle).withColumn("g", F.substring("query", 1, shingle))
     heads = long.select("g").distinct()
-    grams = texts.where(F.length("text") >= shingle).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - shingle + 1), lambda i: F.substr("text", i, F.lit(shingle))))).alias("g"))
+    grams = texts.where(F.length("text") >= shingle).select("id", F.explode(F.array_distinct(kmers(F.col("text"), shingle))).alias("g"))
     pairs = grams.join(heads, "g", "left_semi").join(long, "g").select("query_id", "id", "query").distinct()
     found = pairs.join(texts, "id").where(F.contains("text", "query")).select("query_id", "id")
     short = queries.where((F.length("query") < shingle) & (F.length("query") > 0))
@@ -108,9 +109,9 @@ def cluster_held_out(membership: DataFrame, labels: DataFrame, target: int, seed
     return good.withColumn("_h", order_key(F.col("cluster"), seed)).orderBy("_h", "cluster").limit(target).select("cluster")
 
 
-def hard_negatives(df: DataFrame, id_col: str, group: str, bin_col: str, kmers: Column, per: int = 1) -> DataFrame:
+def hard_negatives(df: DataFrame, id_col: str, group: str, bin_col: str, grams_of: Column, per: int = 1) -> DataFrame:
     """(id, negative, jaccard): rows of another group in the same bin that share most k-mers, by an inverted k-mer join."""
-    grams = df.select(F.col(id_col), F.col(group), F.col(bin_col), F.array_distinct(kmers).alias("k")).withColumn("n", F.size("k"))
+    grams = df.select(F.col(id_col), F.col(group), F.col(bin_col), F.array_distinct(grams_of).alias("k")).withColumn("n", F.size("k"))
     x = grams.select(id_col, group, bin_col, "n", F.explode("k").alias("g"))
     y = x.select(F.col(id_col).alias("negative"), F.col(group).alias("g2"), bin_col, F.col("n").alias("n2"), "g")
     pairs = x.join(y, [bin_col, "g"]).where(F.col(group) != F.col("g2")).groupBy(id_col, "negative").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("n2").alias("n2"))
