@@ -290,9 +290,9 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     if first is None:
         return documents
     if second is not None:  # the hits of several blocks add up, so rows are told apart by a key and joined
-        keyed = stored(documents.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-        bad = digested(phrases(keyed.select(F.col("row_key").alias("doc_id"), "text"), benchmark, window, block_words)).where("contaminated")
-        return keyed.join(bad.select(F.col("doc_id").alias("row_key")), "row_key", "left_anti").select(*documents.columns)
+        keyed = stored(documents.withColumn("_siltstone_row", F.monotonically_increasing_id()), "rows")
+        bad = digested(phrases(keyed.select(F.col("_siltstone_row").alias("doc_id"), "text"), benchmark, window, block_words)).where("contaminated")
+        return keyed.join(bad.select(F.col("doc_id").alias("_siltstone_row")), "_siltstone_row", "left_anti").select(*documents.columns)
     frequency = frequencies(stored(indexed(documents, first), "postings"), len(first.term))
     shared = documents.sparkSession.sparkContext.broadcast((first, first.anchors(frequency)))
 

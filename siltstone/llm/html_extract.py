@@ -213,8 +213,9 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
         if i:
             a = found[i - 1].path
             shared = sum(1 for x, y in zip(a, b.path) if x == y)
-            edges.append((i - 1, i, SMOOTH * shared / max(len(a), len(b.path))))
-        if parent in last and last[parent] < i - 1:
+            sure = found[i - 1].boiler != b.boiler  # an advert between two paragraphs says little about them
+            edges.append((i - 1, i, SMOOTH * shared / max(len(a), len(b.path)) * (0.25 if sure else 1.0)))
+        if parent in last and last[parent] < i - 1 and found[last[parent]].boiler == b.boiler:
             edges.append((last[parent], i, PROXIMITY))
         last[parent] = i
     return edges

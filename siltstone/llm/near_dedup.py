@@ -19,8 +19,7 @@ least one block of documents, the blocks' frequent shingles are candidates, and
 4. Components of the links give class ids by repeated minima with pointer jumping, a stored table each round.
 
 Null texts are classes of their own, as are null ids (class id null); texts without words are classes by equal text.
-Repeated rows of one id give a row each and are
-one class."""
+Repeated rows of one id give a row each and are one class."""
 
 from __future__ import annotations
 
@@ -359,7 +358,7 @@ def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
     if gone.count() <= BROADCAST_IDS:  # else a join by shuffle
         gone = F.broadcast(gone)
-    out = documents.join(gone, documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    out = documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")
     if _repeats(found):
         return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
     return out
