@@ -33,4 +33,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from siltstone.plans import evidence, graph, judge, search, sequences  # noqa: F401
+    from siltstone.plans import evidence, graph, judge, reports, search, sequences  # noqa: F401
