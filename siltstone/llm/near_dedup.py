@@ -14,8 +14,9 @@ least one block of documents, the blocks' frequent shingles are candidates, and
 2. Each text gets BANDS keys of ROWS ICWS samples each. Texts that share a key are candidates.
 3. Buckets of the same members are compared once. A bucket of over BUCKET_BLOCK texts is cut into blocks and every pair of
    blocks is a task of its own, so no task holds an unbounded group. Within a task overlaps are counted over an
-   inverted list of shingles, and texts of a weighted Jaccard similarity of SIMILARITY or more are linked; texts that
-   are linked already, over others, are not compared again. Nothing is capped or sampled.
+   inverted list of shingles, and texts are linked whose weighted Jaccard similarity is SIMILARITY or more, or whose plain
+   one is (all weights 1): a large group makes its own shingles frequent, and must not be parted by that. Texts that are
+   linked already, over others, are not compared again. Nothing is capped or sampled.
 4. Components of the links give class ids by repeated minima with pointer jumping, a stored table each round.
 
 Null texts are classes of their own, as are null ids (class id null); texts without words are classes by equal text.
@@ -256,7 +257,7 @@ def signed(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def linked(h: list[np.ndarray], w: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """The component (smallest member) of each text, linked at a weighted Jaccard similarity of `similarity` or more."""
+    """The component (smallest member) of each text, linked at a weighted or plain Jaccard similarity of `similarity` or more."""
     n = len(h)
     size = np.array([len(x) for x in h])
     doc, weight = np.repeat(np.arange(n), size), np.concatenate(w).astype(np.float64)
@@ -279,8 +280,12 @@ def linked(h: list[np.ndarray], w: list[np.ndarray], similarity: float = SIMILAR
         terms = term[first[i] : first[i] + size[i]]
         m = ends[terms] - starts[terms]
         at = np.repeat(ends[terms] - m, m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        shared = np.bincount(by_doc[at], None if unit else np.minimum(by_weight[at], np.repeat(weight[first[i] : first[i] + size[i]], m)), n)
-        near = np.flatnonzero(shared >= similarity * (total + total[i] - shared) - 1e-9)
+        common = np.bincount(by_doc[at], None, n)
+        near = common >= similarity * (size + size[i] - common) - 1e-9
+        if not unit:
+            shared = np.bincount(by_doc[at], np.minimum(by_weight[at], np.repeat(weight[first[i] : first[i] + size[i]], m)), n)
+            near |= shared >= similarity * (total + total[i] - shared) - 1e-9
+        near = np.flatnonzero(near)
         roots = np.unique(root[near])
         if len(roots) > 1:
             root[np.isin(root, roots)] = roots[0]

@@ -45,7 +45,7 @@ class _Parts(dict):
 
 
 class Tokens:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         self._encode = encoding(path).encode_ordinary
         self._parts = _Parts(self._encode, most)
 

@@ -341,7 +341,7 @@ def plain_classes(texts, similarity=0.8):
             same = texts[i] is not None and texts[i] == texts[j]
             if not same and sh[i] and sh[j]:
                 lo, hi = (sum(f(sh[i][x], sh[j][x]) * weigh(x) for x in sh[i] | sh[j]) for f in (min, max))
-                same = lo >= similarity * hi - 1e-9
+                same = lo >= similarity * hi - 1e-9 or len(sh[i] & sh[j]) >= similarity * len(sh[i] | sh[j]) - 1e-9
             if same and root[i] != root[j]:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
