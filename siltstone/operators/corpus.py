@@ -29,7 +29,8 @@ def sequence_records(df: DataFrame, id_col: str, text: Column, target: str) -> D
 
 def window_records(df: DataFrame, id_col: str, text: Column, target: str, size: int = 128, stride: int = 64, least: int = 24) -> DataFrame:
     """A row a window: record_id, parent, start, end, text; windows shorter than `least` go."""
-    rows = df.select(F.col(id_col).alias("parent"), F.explode(seq.windows(seq.clean(text), size, stride)).alias("w")).where(F.col("w.end") - F.col("w.start") >= least)
+    cleaned = df.select(F.col(id_col).alias("parent"), seq.clean(text).alias("s"))  # once, not at each mention
+    rows = cleaned.select("parent", F.explode(seq.windows(F.col("s"), size, stride)).alias("w")).where(F.col("w.end") - F.col("w.start") >= least)
     return rows.select(F.concat_ws(":", F.lit(target), F.col("parent").cast("string"), F.col("w.start").cast("string"), F.col("w.end").cast("string")).alias("record_id"), "parent", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.text").alias("text"))
 
 
