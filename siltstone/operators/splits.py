@@ -72,7 +72,12 @@ def containment(queries: DataFrame, texts: DataFrame, shingle: int = 24) -> Data
     them, are an equi-join; only such pairs are compared whole. Queries shorter than the shingle meet all texts."""
     long = queries.where(F.length("query") >= shingle).withColumn("g", F.substring("query", 1, shingle))
     heads = long.select("g").distinct()
-    grams = texts.where(F.length("text") >= shingle).select("id", F.explode(F.array_distinct(kmers(F.col("text"), shingle))).alias("g"))
+    usable = texts.where(F.length("text") >= shingle)
+    if heads.count() <= 10_000:  # then one array that is met in place; else every place of every text is a row
+        known = heads.agg(F.collect_list("g").alias("heads"))
+        grams = usable.crossJoin(F.broadcast(known)).select("id", F.explode(F.array_intersect(kmers(F.col("text"), shingle), F.col("heads"))).alias("g"))
+    else:
+        grams = usable.select("id", F.explode(F.array_distinct(kmers(F.col("text"), shingle))).alias("g"))
     pairs = grams.join(heads, "g", "left_semi").join(long, "g").select("query_id", "id", "query").distinct()
     found = pairs.join(texts, "id").where(F.contains("text", "query")).select("query_id", "id")
     short = queries.where((F.length("query") < shingle) & (F.length("query") > 0))
