@@ -71,7 +71,7 @@ class Additive:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.basis(x) @ self.w + self.b
 
-    def train(self, gradient, steps: int, rate: float = 0.05, l2: float = 1e-4) -> None:
+    def train(self, gradient, steps: int, rate: float = 0.3, l2: float = 1e-5) -> None:
         """Adam; gradient(w, b) gives both derivatives."""
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for t in range(1, steps + 1):
@@ -93,7 +93,7 @@ def prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05) ->
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def learn(x_p: np.ndarray, x_u: np.ndarray, steps: int = 300) -> tuple[Additive | None, float]:
+def learn(x_p: np.ndarray, x_u: np.ndarray, steps: int = 200) -> tuple[Additive | None, float]:
     """The classifier and the prior from features of positives and unlabelled texts."""
     if len(x_p) < 5 or len(x_u) < 5:
         return None, 0.5
