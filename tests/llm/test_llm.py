@@ -153,7 +153,7 @@ def test_ids_equal_the_tokenizers_library():
 
     path = tokens.vocabulary_path()
     other, mine, rng = Tokenizer.from_file(path), tokens.tokens(path), random.Random(5)
-    bits = ["a", "the", " ", "  ", "\n", "\t", "1", "'s", "'", "!", "é", " word", "\r\n", "\x1c", "\u0085", "中", "\U0001f600"]
+    bits = ["a", "the", " ", "  ", "\n", "\t", "1", "'s", "'", "!", "é", " word", "\r\n", "\x1c", "\u0085", "中", "\U0001f600", "<|endoftext|>", "<|end"]
     for _ in range(3000):
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
         assert other.encode(t, add_special_tokens=False).ids == mine.ids(t).tolist(), repr(t)
@@ -185,7 +185,7 @@ def test_packing_round_trip(spark):
 
 def test_edits_equal_encoding_anew():
     rng, tok = random.Random(7), tokens.tokens(tokens.vocabulary_path())
-    bits = ["a", "the", " ", " ", "  ", "\n", "1", "'s", "!", "é", " word", "\t"]
+    bits = ["a", "the", " ", " ", "  ", "\n", "1", "'s", "!", "é", " word", "\t", "<|endoftext|>", "<|end", "oftext|>"]
     for _ in range(800):
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
         tree = token_counts.Tree(t, tok, leaf=2)
