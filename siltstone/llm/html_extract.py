@@ -26,7 +26,10 @@ from siltstone.llm.common import column, table, tuned
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 # What HTML's own elements mean here.
@@ -38,13 +41,16 @@ CONTENT_TAGS = frozenset("article main".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Words of class, id and role names.
-BOILER_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets masthead copyright contentinfo complementary".split())
+BOILER_NAMES = frozenset("ad ads adsbygoogle advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup privacy promo promoted recommended recommendations related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets masthead copyright contentinfo complementary".split())
+HIDDEN_CLASSES = frozenset("hidden is-hidden screen-reader-text sr-only visually-hidden".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post story text".split())
 
 # Weights of the classifier: log odds for content.
 BIAS, CONTENT_TAG, CONTENT_NAME, PARAGRAPH, HEADING, LENGTH, LINKS, HEADER = -1.0, 4.0, 2.0, 1.0, 0.5, 0.5, -5.0, -3.0
 HARD = 50.0
 SMOOTH, PROXIMITY = 0.8, 0.4
+#: Stands among an element's names for one of HIDDEN_CLASSES.
+UNSEEN = "(hidden)"
 
 
 class Block:
@@ -58,11 +64,19 @@ class Block:
 def names(attributes: str) -> set[str]:
     out: set[str] = set()
     for m in _NAMES.finditer(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()
-        out.update(_TOKEN.findall(value))
+        # "has-sidebar" and the like tell of a page's layout, not of the element.
+        value = " ".join(v for v in (m[1] or m[2] or m[3] or "").split() if not _LAYOUT.match(v))
+        out.update(_TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+        if not HIDDEN_CLASSES.isdisjoint(value.lower().split()):
+            out.add(UNSEEN)
     return out
 
 
+def hidden(attributes: str) -> bool:
+    """By attribute or style; clipping (overflow: hidden) hides nothing."""
+    return bool(_HIDDEN_STYLE.search(attributes)) or bool(_HIDDEN_ATTRIBUTE.search(_QUOTED.sub('""', attributes)))
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order, with white space still in pieces."""
     stack: list[tuple] = [("", 0, False, 0, 0, False)]  # tag, number, boiler, content tags, content names, header
@@ -117,8 +131,8 @@ def blocks(page: str) -> list[Block]:
             attributes = m[3] or ""
             mine = names(attributes) if "=" in attributes else set()
             made += 1
-            bad = name in BOILER_TAGS or bool(mine & BOILER_NAMES) and name not in ("body", "html", "main", "article") or bool(attributes and _HIDDEN.search(attributes))
-            stack.append((name, made, boiler or bad, content + (name in CONTENT_TAGS), named + bool(mine & CONTENT_NAMES), header or name == "header"))
+            bad = name in BOILER_TAGS or bool(mine & BOILER_NAMES) and name not in ("body", "html", "main", "article") or UNSEEN in mine or ("=" in attributes or "hidden" in attributes.lower()) and hidden(attributes)
+            stack.append((name, made, boiler or bad, content + (name in CONTENT_TAGS), named + bool(mine & CONTENT_NAMES), header or name == "header" or "header" in mine))
     add(page[at:])
     return out
 

@@ -74,6 +74,10 @@ def test_html_main_text():
     <aside class="sidebar"><p>Related stories for you to read on this site.</p></aside><section id="comments"><p>A great article! I read all of it.</p></section><footer>(c) 2020</footer>"""
     assert html_extract.main_text(page) == "Title & more First paragraph of the text,bold, long enough. Second link été. One item Two items"
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
+    long = "Some words of the article that are long enough to be kept here."
+    for around in ('<div style="overflow:hidden">', '<div class="content has-sidebar" aria-hidden="false">', '<main class="overflow-hidden no-sidebar">'):
+        for gone in ("<div hidden>", '<div style="display: none">', '<p class="sr-only">', '<div id="header">', '<section class="reader-responses">'):
+            assert html_extract.main_text(f"<body>{around}<p>{long}</p></div></main>{gone}No words of it</body>") == long
     assert html_extract.main_text("<article><p>a < b and c</p>" + "<div>" * 3000) is not None
 
 
