@@ -6,7 +6,9 @@ they are the capacities of its terminal edges. Neighbouring blocks, and blocks t
 by smoothness edges. The minimum cut of that graph, found by maximum flow, labels the blocks; content blocks are joined in
 page order by one space.
 
-Elements that never hold main text (scripts, styles, forms, navigation and the like) are hard terminals. Null and empty
+Scripts, styles, navigation and hidden elements are hard terminals. All other signs are finite: tags and names of
+boilerplate count against a block, by whole class and less by a class's first or last part, and an article, main or content
+element inside such an element outweighs it. A form that holds most of the page's text is a wrapper and costs nothing. Null and empty
 pages give an empty text, as do pages without content blocks. Markup may be broken: stray end tags are skipped, unclosed
 elements end with their parents. Each row gives one row; null ids and urls are passed through."""
 
@@ -29,24 +31,36 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]", re.I)
+_LAYOUT = re.compile(r"(?:^|[-_])(?:has|no|with|without)[-_]", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 # What HTML's own elements mean here.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas noframes noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-BOILER_TAGS = frozenset("nav footer aside form button select option menu dialog head fieldset datalist".split())
+HARD_TAGS = frozenset(["nav"])
+BOILER_TAGS = frozenset("footer aside button select option menu dialog datalist".split())
+FORMS = frozenset("form fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Words of class, id and role names.
 BOILER_NAMES = frozenset("ad ads adsbygoogle advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup privacy promo promoted recommended recommendations related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets masthead copyright contentinfo complementary".split())
+# Parts of longer names that tell little: page builders' widgets at either end, and subjects at the start.
+VAGUE_FIRST = frozenset("widget widgets legal notice notices popup privacy respond response responses search social tags".split())
+VAGUE_LAST = frozenset("widget widgets".split())
+COMMENT_NAMES = frozenset("comment comments reply replies".split())
 HIDDEN_CLASSES = frozenset("hidden is-hidden screen-reader-text sr-only visually-hidden".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post story text".split())
 
 # Weights of the classifier: log odds for content.
 BIAS, CONTENT_TAG, CONTENT_NAME, PARAGRAPH, HEADING, LENGTH, LINKS, HEADER = -1.0, 4.0, 2.0, 1.0, 0.5, 0.5, -5.0, -3.0
+# Of elements of boilerplate: by tag, by a whole name and by a name's part, of small forms, and the least of all ancestors.
+BOILER_TAG, BOILER_NAME, BOILER_PART, FORM, LEAST = -8.0, -4.0, -2.5, -4.0, -10.0
+#: What stays of content around boilerplate, and of boilerplate around content.
+OUTER_CONTENT, OUTER_BOILER = 0.25, 0.5
+#: From here on a block is surely boilerplate to its neighbours.
+SURE = -3.0
 HARD = 50.0
 SMOOTH, PROXIMITY = 0.8, 0.4
 #: Stands among an element's names for one of HIDDEN_CLASSES.
@@ -54,22 +68,70 @@ UNSEEN = "(hidden)"
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "boiler", "content", "named", "header")
+    __slots__ = ("text", "links", "tag", "path", "hidden", "context", "forms")
 
-    def __init__(self, tag, path, boiler, content, named, header):
+    def __init__(self, tag, path, hidden, context, forms):
         self.text, self.links, self.tag, self.path = [], 0, tag, path
-        self.boiler, self.content, self.named, self.header = boiler, content, named, header
-
-
-def names(attributes: str) -> set[str]:
-    out: set[str] = set()
+        self.hidden, self.context, self.forms = hidden, context, forms
+
+    @property
+    def boiler(self) -> bool:
+        return self.hidden or self.context.odds() <= SURE
+
+
+class Context:
+    """What a block's ancestors say: boilerplate's cost, then content tags, content names and headers inside it."""
+
+    __slots__ = ("cost", "content", "named", "header")
+
+    def __init__(self, cost=0.0, content=False, named=False, header=False):
+        self.cost, self.content, self.named, self.header = cost, content, named, header
+
+    def odds(self) -> float:
+        inside = self.content or self.named
+        return self.cost * (OUTER_BOILER if inside else 1.0) + CONTENT_TAG * self.content + CONTENT_NAME * self.named
+
+    def within(self, tag: str, whole: set[str], parts: set[str], ends: set[str]) -> Context:
+        """Of an element in this context, with these names, their parts, and the parts of longer names that count as boilerplate."""
+        header = self.header or tag == "header" or "header" in parts
+        own = 0.0
+        if tag in BOILER_TAGS or tag not in ("body", "html", "main", "article") and "footer" in whole | ends:
+            own = BOILER_TAG
+        elif tag == "article" and parts & COMMENT_NAMES or tag not in ("body", "html", "main", "article") and whole & BOILER_NAMES:
+            own = BOILER_NAME
+        elif ends and tag not in ("body", "html", "main", "article") and not whole & CONTENT_NAMES:
+            own = BOILER_PART
+        if own:
+            outer = self.odds()
+            return Context(max(LEAST, own + (OUTER_CONTENT * outer if outer > 0 else outer)), header=header)
+        content, named = tag in CONTENT_TAGS, bool(parts & CONTENT_NAMES)
+        if not content and not named and header == self.header:
+            return self
+        return Context(self.cost, self.content or content, self.named or named, header)
+
+
+def names(attributes: str) -> tuple[set[str], set[str], set[str]]:
+    """Whole names, all parts of names, and first and last parts of longer names that count as boilerplate."""
+    whole: set[str] = set()
+    parts: set[str] = set()
+    ends: set[str] = set()
     for m in _NAMES.finditer(attributes):
-        # "has-sidebar" and the like tell of a page's layout, not of the element.
-        value = " ".join(v for v in (m[1] or m[2] or m[3] or "").split() if not _LAYOUT.match(v))
-        out.update(_TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-        if not HIDDEN_CLASSES.isdisjoint(value.lower().split()):
-            out.add(UNSEEN)
-    return out
+        for value in (m[1] or m[2] or m[3] or "").split():
+            if _LAYOUT.search(value):  # "has-sidebar" and the like tell of a page's layout, not of the element
+                continue
+            whole.add(value.lower())
+            found = _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            parts.update(found)
+            if len(found) > 1:
+                if found[0] in BOILER_NAMES and found[0] not in VAGUE_FIRST:
+                    ends.add(found[0])
+                if found[-1] in BOILER_NAMES and found[-1] not in VAGUE_LAST:
+                    ends.add(found[-1])
+            elif found:
+                whole.add(found[0])
+    if not HIDDEN_CLASSES.isdisjoint(whole):
+        whole.add(UNSEEN)
+    return whole, parts, ends
 
 
 def hidden(attributes: str) -> bool:
@@ -79,7 +141,7 @@ def hidden(attributes: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order, with white space still in pieces."""
-    stack: list[tuple] = [("", 0, False, 0, 0, False)]  # tag, number, boiler, content tags, content names, header
+    stack: list[tuple] = [("", 0, False, Context(), ())]  # tag, number, hidden, context, numbers of forms
     made, links, out, current, at = 0, 0, [], None, 0
 
     def add(piece: str) -> None:
@@ -87,8 +149,8 @@ def blocks(page: str) -> list[Block]:
         if not piece:
             return
         if current is None:
-            tag, _, boiler, content, named, header = stack[-1]
-            current = Block(tag, tuple(x[1] for x in stack), boiler, content, named, header)
+            tag, _, unseen, context, forms = stack[-1]
+            current = Block(tag, tuple(x[1] for x in stack), unseen, context, forms)
             out.append(current)
         current.text.append(piece)
         if links:
@@ -127,12 +189,21 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             elif name == "li" and stack[-1][0] == "li":
                 stack.pop()
-            _, _, boiler, content, named, header = stack[-1]
+            if name == "body":  # ends the head, closed or not
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == "head":
+                        del stack[k:]
+                        break
+            _, _, unseen, context, forms = stack[-1]
             attributes = m[3] or ""
-            mine = names(attributes) if "=" in attributes else set()
+            whole, parts, ends = names(attributes) if "=" in attributes else (set(), set(), set())
             made += 1
-            bad = name in BOILER_TAGS or bool(mine & BOILER_NAMES) and name not in ("body", "html", "main", "article") or UNSEEN in mine or ("=" in attributes or "hidden" in attributes.lower()) and hidden(attributes)
-            stack.append((name, made, boiler or bad, content + (name in CONTENT_TAGS), named + bool(mine & CONTENT_NAMES), header or name == "header" or "header" in mine))
+            unseen = unseen or name in HARD_TAGS or UNSEEN in whole or ("=" in attributes or "hidden" in attributes.lower()) and hidden(attributes)
+            if name in FORMS:
+                forms = (*forms, made)
+            elif name in CONTENT_TAGS:
+                forms = ()
+            stack.append((name, made, unseen, context.within(name, whole, parts, ends), forms))
     add(page[at:])
     return out
 
@@ -168,16 +239,16 @@ class _Scan:
 
 
 def log_odds(block: Block, text: str) -> float:
-    """For content; +-HARD for what is surely not."""
-    if block.boiler:
+    """For content; -HARD for what is hidden."""
+    if block.hidden:
         return -HARD
-    score = BIAS + CONTENT_TAG * min(1, block.content) + CONTENT_NAME * min(1, block.named) + LENGTH * min(4.0, float(np.log1p(len(text) / 20)))
+    score = BIAS + block.context.odds() + (FORM if block.forms else 0.0) + LENGTH * min(4.0, float(np.log1p(len(text) / 20)))
     if block.tag in PARAGRAPHS:
         score += PARAGRAPH
     if block.tag in ("h1", "h2"):
         score += HEADING
-    elif block.header:  # a page's or an article's header, but for headings
-        score += HEADER * (3 if not block.content else 1.5)
+    elif block.context.header:  # a page's or an article's header, but for headings
+        score += HEADER * (3 if not block.context.content else 1.5)
     return score + LINKS * min(1.0, block.links / max(1, len(text)))
 
 
@@ -235,6 +306,19 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
+def unwrap(found: list[Block], texts: list[str]) -> None:
+    """Forms around most of the page's text are taken from their blocks."""
+    held: dict[int, int] = {}
+    total = 0
+    for b, t in zip(found, texts):
+        if not b.hidden:
+            total += len(t)
+            for f in b.forms:
+                held[f] = held.get(f, 0) + len(t)
+    for b in found:
+        b.forms = tuple(f for f in b.forms if 2 * held.get(f, 0) <= total)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -244,6 +328,8 @@ def main_text(page: str | None) -> str:
     if not keep:
         return ""
     found, texts = [found[i] for i in keep], [texts[i] for i in keep]
+    if any(b.forms for b in found):
+        unwrap(found, texts)
     side = minimum_cut([log_odds(b, t) for b, t in zip(found, texts)], smoothness(found))
     return " ".join(t for t, s in zip(texts, side) if s)
 

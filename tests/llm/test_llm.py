@@ -81,6 +81,14 @@ def test_html_main_text():
     assert html_extract.main_text("<article><p>a < b and c</p>" + "<div>" * 3000) is not None
 
 
+def test_html_names_and_forms_do_not_hide_articles():
+    long = "Some words of the article that are long enough to be kept here, and some more of them after the comma."
+    for around in ('<div class="content-sidebar-wrap"><main>', '<div class="page-with-sidebar"><div>', '<div class="elementor-widget elementor-widget-text-editor"><div class="elementor-widget-container">', '<div class="post social-science"><div>', '<div class="sidebar"><article>', '<div class="widget"><div class="entry-content">', '<form id="aspnetForm"><div>', '<form><article>', '<div class="menu"><main>', "<aside><article>", "<head><div>"):
+        assert html_extract.main_text(f"<html>{around}<p>{long}</p><p>{long}</p></body>") == f"{long} {long}", around
+    for gone in ('<section id="comments"><article class="comment-body">', '<div class="related-content">', '<div class="site-footer"><div class="content">', '<footer><div class="content">', "<form><div>", '<div class="comment-list">', "<nav><article>", '<div class="subscribe"><form>'):
+        assert html_extract.main_text(f"<body><article><p>{long}</p><p>{long}</p></article>{gone}<p>Not much is told here.</p></body>") == f"{long} {long}", gone
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
