@@ -8,9 +8,9 @@ page order by one space.
 
 Scripts, styles, navigation and hidden elements are hard terminals. All other signs are finite: tags and names of
 boilerplate count against a block, by whole class and less by a class's first or last part, and an article, main or content
-element inside such an element outweighs it. A form that holds most of the page's text is a wrapper and costs nothing. Null and empty
+element inside such an element outweighs it. The text of <math> stays, but for annotations, which no browser shows. A form that holds most of the page's text is a wrapper and costs nothing. Null and empty
 pages give an empty text, as do pages without content blocks. Markup may be broken: stray end tags are skipped, unclosed
-elements end with their parents. Each row gives one row; null ids and urls are passed through."""
+elements end with their parents, but for raw text (scripts, styles, titles, text areas, frames), which ends with the page. Each row gives one row; null ids and urls are passed through."""
 
 from __future__ import annotations
 
@@ -33,12 +33,16 @@ _HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _LAYOUT = re.compile(r"(?:^|[-_])(?:has|no|with|without)[-_]", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+_EMPTY = re.compile(r"/\s*\Z")
+_ANNOTATION_END = re.compile(r"</(?:annotation|annotation-xml|semantics|math)\b", re.I)
 
 # What HTML's own elements mean here.
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas noframes noembed xmp".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
+UNSEEN_TAGS = frozenset("noscript template object svg canvas noframes noembed".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-HARD_TAGS = frozenset(["nav"])
+HARD_TAGS = UNSEEN_TAGS | {"nav"}
 BOILER_TAGS = frozenset("footer aside button select option menu dialog datalist".split())
 FORMS = frozenset("form fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -173,7 +177,22 @@ def blocks(page: str) -> list[Block]:
             if name == "br":
                 add(" ")
             continue
+        if name in MATH:
+            if name in ("mtd", "mtr"):
+                add(" ")
+            continue
+        if name in ("annotation", "annotation-xml"):
+            if not m[1] and not _EMPTY.search(m[3] or "") and (end := _ANNOTATION_END.search(page, at)):
+                at = m.scan.at = end.start()
+            continue
+        drawing = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("svg", "foreignobject")), 0)
+        if drawing and stack[drawing][0] == "foreignobject":
+            drawing = 0
         current = None
+        if (drawing or name == "svg") and not m[1] and _EMPTY.search(m[3] or ""):
+            continue
+        if drawing and not m[1] and (name in ENDS_P or name in ("body", "li", "dd", "dt")):  # ends a drawing that isn't closed
+            del stack[drawing:]
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:

@@ -89,6 +89,15 @@ def test_html_names_and_forms_do_not_hide_articles():
         assert html_extract.main_text(f"<body><article><p>{long}</p><p>{long}</p></article>{gone}<p>Not much is told here.</p></body>") == f"{long} {long}", gone
 
 
+def test_html_unclosed_and_empty_elements_hide_only_themselves():
+    long = "Some words of the article that are long enough to be kept here."
+    for odd in ('<svg width="1"/>', "<svg><path d='M0'/><g/><style/></svg>", "<math/>", "<div><object data=x>no</div>", "<div><canvas>no</div>", "<div><template><p>no</p></div>", "<div><noscript><img src=x></div>", "<svg><path d='M0'>", "<object><p>no</p></object>"):
+        assert html_extract.main_text(f"<article><p>{long}</p>{odd}<p>{long}</p></article>") == f"{long} {long}", odd
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
+    assert html_extract.main_text(f"<article><p>{long} So {formula} holds.</p></article>") == f"{long} So x=2 holds."
+    assert html_extract.main_text(f"<article><p>{long}</p><script>never ends <p>{long}</p></article>") == long
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
