@@ -245,6 +245,22 @@ def test_secret_spans():
     assert secrets.redacted("ab password=secret123 c", secrets.base_spans("ab password=secret123 c")) == "ab <SECRET> c"
 
 
+def test_secrets_in_readable_runs_short_and_without_digits():
+    rng, count = random.Random(6), tokens.tokens(tokens.vocabulary_path()).count
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for prefix in ("", "config.production.database.connection=", "example.com/account/reset/confirm/"):
+        for alphabet, sizes in ((letters + "0123456789", (16, 22, 24, 32, 40)), (letters, (16, 32))):
+            for size in sizes:
+                hit = 0
+                for _ in range(100):
+                    t = prefix + "".join(rng.choice(alphabet) for _ in range(size))
+                    hit += any(k == 3 and a <= len(prefix) and b == len(t) for a, k, b in secrets.spans(t, count))
+                assert hit >= 97, (prefix, size, hit)
+    for text in ("config.production.database.connection=example.com/account/reset", "internationalization", "/usr/local/lib/python3/site-packages/requests", "AbstractSingletonProxyFactoryBean", "release-2024-01-15-build-1234", "https://a.example/b/c/d/e/f/g/h/i/j/k"):
+        assert secrets.spans(text, count) == [], text
+    assert secrets.spans("see qT7xK2vB9mZ4", count) == [] and secrets.spans("see qT7xK2vB9mZ4", count, min_chars=12) == [(4, 3, 16)]
+
+
 def test_secret_rows_and_redaction(spark):
     texts = ["my token: abcdefgh", "AKIA" + "A" * 16 + " AKIA" + "B" * 3, *EDGES]
     d = docs(spark, texts)
