@@ -20,7 +20,8 @@ least one block of documents, the blocks' frequent shingles are candidates, and
 4. Components of the links give class ids by repeated minima with pointer jumping, a stored table each round.
 
 Null texts are classes of their own, as are null ids (class id null); texts without words are classes by equal text.
-Repeated rows of one id give a row each and are one class."""
+Repeated rows of one id give a row each. An id that stands on different texts takes part with each of them: its rows belong to
+the classes of their texts, also where two of these have the same smallest id, and each is kept or dropped by its own text."""
 
 from __future__ import annotations
 
@@ -235,8 +236,9 @@ def band_keys(keys: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, bands array<long>, h binary, w binary"
 
 
-def signed(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, bands, h, w): band keys, the low 32 bits of the shingles' hashes, their weights (empty: all 1)."""
+def signed(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, bands, h, w): band keys, the low 32 bits of the shingles' hashes, their weights (empty: all 1). `also`
+    names further columns of type long that are passed through."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)  # at most the average length / IDF_FULL entries
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +253,9 @@ def signed(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 kept_h = [x.tobytes() for x in np.split((h & _LOW).astype(np.uint32), cuts)]
                 kept_w = [b"" if (x == 1).all() else x.tobytes() for x in np.split(w, cuts)]
                 lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), lists, pa.array(kept_h, pa.binary()), pa.array(kept_w, pa.binary())], ["doc_id", "bands", "h", "w"]).filter(pa.array(n > 0))
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), lists, pa.array(kept_h, pa.binary()), pa.array(kept_w, pa.binary()), *(column(batch, c) for c in also)], ["doc_id", "bands", "h", "w", *also]).filter(pa.array(n > 0))
 
-    return texts.select("doc_id", "text").mapInArrow(sign, _SIGNED)
+    return texts.select("doc_id", "text", *also).mapInArrow(sign, ", ".join([_SIGNED, *(f"{c} long" for c in also)]))
 
 
 def linked(h: list[np.ndarray], w: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -336,21 +338,40 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY, block: int = BUCKET_BLOCK) -> DataFrame:
-    """doc_id, class_id, text_id for every row; text_id stands for the rows of equal text."""
+def _classed(documents: DataFrame, similarity: float, block: int) -> tuple[DataFrame, bool]:
+    """doc_id, class_id, text_id, h1, h2 (hashes of the text) and stays for every row, and whether ids stand on several rows."""
+    hashes = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), F.reverse("text")).alias("h2")
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = ids.count()
     idf = idf_table(frequent(ids, n), n)
-    hashed = stored(ids.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), F.reverse("text")).alias("h2"), (F.col("text").isNull() | F.col("doc_id").isNull()).alias("alone")), "texts")
-    same = stored(hashed.where("not alone").groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id")), "same")
+    hashed = stored(ids.select("doc_id", *hashes, (F.col("text").isNull() | F.col("doc_id").isNull()).alias("alone")), "texts")
+    same = hashed.where("not alone").groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
     # One of the rows of equal text is signed. All are read, so that no text is shuffled; sets of copies are then left out.
-    signatures = stored(signed(ids.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), idf), "signatures")
-    if _repeats(hashed):
-        signatures = signatures.dropDuplicates(["doc_id"])
-    first = signatures.select("doc_id", "bands").join(same.select(F.col("text_id").alias("doc_id")), "doc_id", "left_semi")
-    label = components(links(first, signatures, similarity, block))
-    named = hashed.join(same, ["h1", "h2"], "left").select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
-    return named.join(label.withColumnRenamed("node", "text_id"), "text_id", "left").select("doc_id", F.coalesce("label", "text_id").alias("class_id"), "text_id")
+    whole = ids.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    repeats = _repeats(hashed)
+    if repeats:  # ids don't tell texts apart: texts are numbered in the order of their ids
+        same = stored(same.orderBy("text_id", "h1", "h2").withColumn("text", F.monotonically_increasing_id()), "same")
+        signatures = signed(whole.select("doc_id", "text", *hashes), idf, ("h1", "h2")).dropDuplicates(["h1", "h2"])
+        signatures = stored(signatures.drop("doc_id").join(same.select("h1", "h2", F.col("text").alias("doc_id")), ["h1", "h2"]).select("doc_id", "bands", "h", "w"), "signatures")
+        first = signatures.select("doc_id", "bands")
+    else:
+        same = stored(same.withColumn("text", F.col("text_id")), "same")
+        signatures = stored(signed(whole, idf), "signatures")
+        first = signatures.select("doc_id", "bands").join(same.select(F.col("text_id").alias("doc_id")), "doc_id", "left_semi")
+    label = components(links(first, signatures, similarity, block)).withColumnRenamed("node", "text")
+    if repeats:
+        label = label.join(same.select(F.col("text").alias("label"), F.col("text_id").alias("class_id")), "label")
+    else:
+        label = label.withColumn("class_id", F.col("label"))
+    named = hashed.join(same, ["h1", "h2"], "left").join(label, "text", "left")
+    mine = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("text_id"))
+    stays = F.col("alone") | (F.col("doc_id") == F.col("text_id")) & (F.coalesce("label", "text") == F.col("text"))
+    return named.select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("class_id", "text_id")).alias("class_id"), mine.alias("text_id"), "h1", "h2", stays.alias("stays")), repeats
+
+
+def classes(documents: DataFrame, similarity: float = SIMILARITY, block: int = BUCKET_BLOCK) -> DataFrame:
+    """doc_id, class_id, text_id for every row; text_id stands for the rows of equal text."""
+    return _classed(documents, similarity, block)[0].select("doc_id", "class_id", "text_id")
 
 
 def _repeats(hashed: DataFrame) -> bool:
@@ -359,14 +380,18 @@ def _repeats(hashed: DataFrame) -> bool:
 
 def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class stays, the one whose doc_id is smallest; rows without id stay. All columns stay."""
-    found = stored(classes(documents.select("doc_id", "text"), similarity).where("doc_id is not null"), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    found, repeats = _classed(documents.select("doc_id", "text"), similarity, BUCKET_BLOCK)
+    found = stored(found.where("doc_id is not null"), "classes")
+    gone = found.where("not stays").select(F.col("doc_id").alias("gone_id"), *(["h1", "h2"] if repeats else [])).distinct()
     if gone.count() <= BROADCAST_IDS:  # else a join by shuffle
         gone = F.broadcast(gone)
-    out = documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    if _repeats(found):
-        return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
-    return out
+    if not repeats:
+        return documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    # Rows of one id and text are one document; another text of that id is another.
+    rows = documents.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(17), F.reverse("text")))
+    out = rows.join(gone, (rows["doc_id"].cast("long") == gone["gone_id"]) & (rows["_h1"] == gone["h1"]) & (rows["_h2"] == gone["h2"]), "left_anti")
+    out = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_h1", "_h2"]).unionByName(out.where(F.col("doc_id").isNull()))
+    return out.select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

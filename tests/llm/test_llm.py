@@ -415,6 +415,15 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.classes(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    x, y, z = "the first text of some words", "another one with nothing shared at all", " ".join(map(str, range(60)))
+    d = docs(spark, [x, y, x, z, z + " more", None, "w", "w", z + " more"], ids=[5, 5, 3, 7, 5, 9, 9, 9, 11])
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(d).collect()))
+    assert got == sorted([(5, 3), (5, 5), (3, 3), (7, 5), (5, 5), (9, 9), (9, 9), (9, 9), (11, 5)])
+    kept = near_dedup.deduplicated(d).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted([(3, x), (5, y), (5, z + " more"), (9, ""), (9, "w")])
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(12)
     h = np.sort(rng.integers(1, 2**63, 400, dtype=np.uint64))
