@@ -415,6 +415,15 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.classes(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    rng, texts = random.Random(8), []
+    for k in range(20):
+        ws = [f"w{k}x{rng.randrange(10**6)}" for _ in range(204)]
+        texts += [" ".join(ws), " ".join(ws + ws[:20] * 20)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(spark, texts)).collect()}
+    assert [got[2 * k + 1] for k in range(20)] == [2 * k for k in range(20)]
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     x, y, z = "the first text of some words", "another one with nothing shared at all", " ".join(map(str, range(60)))
     d = docs(spark, [x, y, x, z, z + " more", None, "w", "w", z + " more"], ids=[5, 5, 3, 7, 5, 9, 9, 9, 11])
