@@ -90,8 +90,9 @@ class Model:
     def predict(self, texts: list[str], gap: float) -> tuple[list[str], np.ndarray, np.ndarray]:
         pred, score, unsure = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         rows = [i for i, t in enumerate(texts) if self.languages and any(map(str.isalpha, t))]
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
+        step = max(1, min(256, 2_000_000 // max(1, self.code.size)))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
             d = self.losses(features([texts[i] for i in part]))
             best = d.argmin(1)
             p = np.exp(-4.0 * (d - d.min(1, keepdims=True)))
@@ -103,16 +104,16 @@ class Model:
         return pred, score, unsure
 
 
-def fit(documents: DataFrame, train, most: int = 8000, max_languages: int = 256, seed: int = 11) -> Model:
-    """Learns from a bounded sample: about `most` documents, drawn by a hash of the id alike for each of the
-    `max_languages` most frequent languages (lang is a small vocabulary; ties by name)."""
+def fit(documents: DataFrame, train, most: int = 8000, least: int = 20, seed: int = 11) -> Model:
+    """Learns from a bounded sample: about `most` documents, drawn by a hash of the id alike for each
+    language. Every language is learned; many have smaller samples each, but not under `least` documents."""
     rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & train)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model([], np.zeros((0, DIMS)), np.zeros(0, dtype=int))
-    each = max(40, most // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    chosen = rows.where(uniform("doc_id", seed) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    each = max(least, most // len(counts))
+    share = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    chosen = rows.join(F.broadcast(share), "lang").where(uniform("doc_id", seed) < F.col("share"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,15 +142,15 @@ def identify(documents: DataFrame, model: Model, gap: float = 0.05) -> DataFrame
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def kept(documents: DataFrame, model: Model, least: float = 0.3, gap: float = 0.05) -> DataFrame:
-    """The rows of documents that aren't rejected: those without letters go, and those both ambiguous and of a score
-    below `least`. All columns stay."""
+def kept(documents: DataFrame, model: Model, gap: float = 0.05) -> DataFrame:
+    """The rows of documents that aren't rejected: those without letters go, and the ambiguous ones, whose two nearest
+    languages are less than `gap` apart, however many there are. All columns stay."""
     shared, schema = documents.sparkSession.sparkContext.broadcast(model), documents.schema
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, unsure = shared.value.predict([t or "" for t in column(batch, "text").to_pylist()], gap)
-            good = np.array([p != UND for p in pred], dtype=bool) & ~(unsure & (score < least))
+            pred, _, unsure = shared.value.predict([t or "" for t in column(batch, "text").to_pylist()], gap)
+            good = np.array([p != UND for p in pred], dtype=bool) & ~unsure
             if not shared.value.languages:  # nothing learned: only texts without letters go
                 good = np.array([any(map(str.isalpha, t or "")) for t in column(batch, "text").to_pylist()], dtype=bool)
             yield batch.filter(pa.array(good))

@@ -56,6 +56,19 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert kept.columns == d.columns and set(range(len(texts))) <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_ties_are_rejected_and_every_language_learned(spark):
+    rng = random.Random(4)
+    texts = [words_of(rng, a, 30) for a in ("abcde", "fghij") for _ in range(60)]
+    mixed = [words_of(rng, "abcde", n) + " " + words_of(rng, "fghij", 60 - n) for n in range(15, 46) for _ in range(4)]
+    d = docs(spark, [*texts, *mixed], ["aa"] * 60 + ["bb"] * 60 + [None] * len(mixed))
+    model = language_id.fit(d, F.lit(True))
+    ties = {r["doc_id"] for r in language_id.identify(d, model).collect() if r["ambiguous"]}
+    assert ties and min(ties) >= 120
+    assert {r["doc_id"] for r in language_id.kept(d, model).collect()} == set(range(120 + len(mixed))) - ties
+    many = docs(spark, [f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)} " * 5 for k in range(260)], [f"l{k}" for k in range(260)])
+    assert len(language_id.fit(many, F.lit(True)).languages) == 260
+
+
 def test_language_without_training_rows(spark):
     d = docs(spark, ["words here", None])
     model = language_id.fit(d, F.lit(True))
