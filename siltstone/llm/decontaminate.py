@@ -206,9 +206,25 @@ def phrases(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     return merged.join(keyed.select(F.col("key").alias("doc_id"), "id"), "doc_id").select(F.col("id").alias("doc_id"), "n_words", "hits", "items")
 
 
+def reachable(at: int, path: list[int], step: int, lists: dict[int, np.ndarray], slop: int, begin: int, end: int) -> np.ndarray:
+    """All positions in [begin, end), sorted, where the last word of `path` may stand if its words follow `at` in the
+    direction of `step`, each at most `slop` other words beyond the one before."""
+    reached = np.array([at], dtype=np.int64)
+    for w in path:
+        near = lists.get(w, np.zeros(0, dtype=np.int32))
+        near = near[np.searchsorted(near, begin) : np.searchsorted(near, end)].astype(np.int64)
+        # A position is reached if one that is reached lies 1 to slop + 1 words before it in the path's direction.
+        low, high = (near - slop - 1, near - 1) if step > 0 else (near + 1, near + slop + 1)
+        reached = near[np.searchsorted(reached, high, side="right") > np.searchsorted(reached, low, side="left")]
+        if not len(reached):
+            break
+    return reached
+
+
 def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:
     """(doc_id, item_id, first, last): where all the words of a window stand in order with at most `slop` other words
-    between neighbours, found from the rarest word outwards. Exact phrases are those of slop 0."""
+    between neighbours, found from the rarest word outwards; of the places around one occurrence of that word, the narrowest.
+    Exact phrases are those of slop 0."""
     out = None
     for tests in blocks(benchmark, BLOCK_WORDS, window):
         index = stored(indexed(documents, tests), "postings")
@@ -229,21 +245,11 @@ def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                         for at in lists.get(term, ()):
                             d = int(np.searchsorted(ends, at, side="right"))
                             for s in range(max(0, place - width + 1), min(place, len(words) - width) + 1):
-                                span = [int(at), int(at)]
-                                for side, path in ((0, words[s:place][::-1]), (1, words[place + 1 : s + width])):
-                                    for w in path:
-                                        near = lists.get(w, np.zeros(0, dtype=np.int32))
-                                        i = np.searchsorted(near, span[side]) - 1 if side == 0 else np.searchsorted(near, span[side], side="right")
-                                        if not 0 <= i < len(near) or abs(int(near[i]) - span[side]) > slop + 1:
-                                            break
-                                        span[side] = int(near[i])
-                                    else:
-                                        continue
-                                    break
-                                else:
-                                    if ends[d] - lengths[d] <= span[0] and span[1] < ends[d]:
-                                        begin = int(ends[d] - lengths[d])
-                                        found.add((ids[d], tests.items[k][0], span[0] - begin, span[1] + 1 - begin))
+                                begin, end = int(ends[d] - lengths[d]), int(ends[d])
+                                before = reachable(int(at), words[s:place][::-1], -1, lists, slop, begin, end)
+                                after = reachable(int(at), words[place + 1 : s + width], 1, lists, slop, begin, end) if len(before) else before
+                                if len(after):
+                                    found.add((ids[d], tests.items[k][0], int(before[-1]) - begin, int(after[0]) + 1 - begin))
                     rows = list(zip(*sorted(found, key=str))) or [()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], ["doc_id", "item_id", "first", "last"])
 

@@ -374,6 +374,23 @@ def test_proximity(spark):
     assert [(r["doc_id"], r["first"], r["last"]) for r in decontaminate.proximity(d, b, slop=1).collect()] == [(0, 1, 6)]
 
 
+def test_proximity_with_repeated_words_against_plain(spark):
+    def plain(text, item, slop):
+        reached = [i for i, w in enumerate(text) if w == item[0]]
+        for word in item[1:]:
+            reached = [i for i, w in enumerate(text) if w == word and any(0 < i - r <= slop + 1 for r in reached)]
+        return bool(reached)
+
+    rng = random.Random(12)
+    texts = [[rng.choice(["red", "fox", "runs", "x", "y"]) for _ in range(9)] for _ in range(150)] + ["red fox fox x runs".split(), "runs x fox fox red".split()]
+    items = ["red fox runs".split(), "fox red fox x".split(), "runs fox red".split()]
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for slop in (0, 1, 2):
+        got = {(r["doc_id"], int(r["item_id"])) for r in decontaminate.proximity(docs(spark, [" ".join(t) for t in texts]), b, slop=slop).collect()}
+        assert got == {(i, k) for i, t in enumerate(texts) for k, w in enumerate(items) if plain(t, w, slop)}
+    assert slop == 2 and (150, 0) in got
+
+
 # 10. near duplicates
 
 
