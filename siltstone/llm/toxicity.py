@@ -128,8 +128,12 @@ class Model:
         return self.calibration.predict(p) if self.calibration else p
 
 
-def fit(documents: DataFrame, labels: DataFrame, train, most: int = 16_000, seed: int = 5) -> Model:
-    """From about `most` labelled training documents: a half for the lexicon, 3/8 for the trees, 1/8 for calibration."""
+def fit(documents: DataFrame, labels: DataFrame, train, most: int = 16_000, seed: int = 5, few: int = 50) -> Model:
+    """From about `most` labelled training documents: a half for the lexicon, 3/8 for the trees, 1/8 for calibration.
+
+    If the last part has fewer than `few` rows or one label only, calibration is learned out of fold instead, from the rows of
+    both parts: each is scored by trees that haven't seen it, and all of them then make the trees. Only where these rows are of
+    one label, so that there is nothing to learn, the trees' constant score stays uncalibrated."""
     rows = labelled_sample(documents, labels, "toxic", train, most, seed).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(8)))
     lex = lexicon(rows.where("part < 4"))
     shared = documents.sparkSession.sparkContext.broadcast(lex)
@@ -143,10 +147,26 @@ def fit(documents: DataFrame, labels: DataFrame, train, most: int = 16_000, seed
     got = rows.where("part >= 4").select(F.col("doc_id").cast("long"), "label", F.col("part").cast("int"), "text").mapInArrow(featured, "doc_id long, label int, part int, x array<double>").collect()
     got.sort(key=lambda r: r["doc_id"])
     x, y, part = np.array([r["x"] for r in got]).reshape(-1, len(NAMES)), np.array([r["label"] for r in got], dtype=float), np.array([r["part"] for r in got], dtype=int)
-    trees = Trees().fit(x[part < 7], y[part < 7])
     last = part == 7
-    use = last.sum() >= 50 and 0 < y[last].sum() < last.sum()
-    return Model(lex, trees, Isotonic().fit(trees.predict(x[last]), y[last]) if use else None)
+    if last.sum() >= few and 0 < y[last].sum() < last.sum():
+        trees = Trees().fit(x[~last], y[~last])
+        return Model(lex, trees, Isotonic().fit(trees.predict(x[last]), y[last]))
+    trees = Trees().fit(x, y)
+    if not len(y) or y.min() == y.max():
+        return Model(lex, trees, None)
+    return Model(lex, trees, Isotonic().fit(out_of_fold(x, y), y))
+
+
+def out_of_fold(x: np.ndarray, y: np.ndarray, folds: int = 5) -> np.ndarray:
+    """Each row's score by trees of the other folds, which are dealt alike for each label."""
+    fold = np.zeros(len(y), dtype=int)
+    for label in (0, 1):
+        fold[y == label] = np.arange(int((y == label).sum())) % folds
+    p = np.zeros(len(y))
+    for k in range(folds):
+        if (fold == k).any():
+            p[fold == k] = Trees().fit(x[fold != k], y[fold != k]).predict(x[fold == k])
+    return p
 
 
 def scored(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -162,6 +162,18 @@ def test_toxicity_held_out_and_edges(spark):
     assert toxicity.scored(d.limit(0), toxicity.fit(d.limit(0), labels, F.lit(True))).count() == 0
 
 
+def test_toxicity_is_calibrated_when_labels_are_few(spark):
+    rng = random.Random(9)
+    toxic = [k % 3 == 0 for k in range(120)]
+    d = docs(spark, [words_of(rng, "abcdefgh", 20) + (" you zzrude zzvile idiot" if t else "") for t in toxic])
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, F.lit(True))
+    assert model.calibration is not None
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(d, model).collect()}
+    assert np.mean([got[k] == int(t) for k, t in enumerate(toxic)]) > 0.95
+    assert toxicity.fit(d, labels.where("toxic = 0"), F.lit(True)).calibration is None
+
+
 def test_quality_held_out_prior_and_edges(spark):
     rng = random.Random(4)
     good = [words_of(rng, "abcdefghijklm", rng.randint(20, 90)) + "." for _ in range(300)]
