@@ -289,15 +289,17 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     return digested(phrases(documents, benchmark, window, block_words))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of documents that aren't contaminated, all columns."""
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, least_share: float = 0.0) -> DataFrame:
+    """The rows of documents without a whole window of the test set, all columns. With `least_share`, only those go in which
+    hit words make that share of all words or more."""
     parts = blocks(benchmark, block_words, window)
     first, second = next(parts, None), next(parts, None)
     if first is None:
         return documents
     if second is not None:  # the hits of several blocks add up, so rows are told apart by a key and joined
         keyed = stored(documents.withColumn("_siltstone_row", F.monotonically_increasing_id()), "rows")
-        bad = digested(phrases(keyed.select(F.col("_siltstone_row").alias("doc_id"), "text"), benchmark, window, block_words)).where("contaminated")
+        found = digested(phrases(keyed.select(F.col("_siltstone_row").alias("doc_id"), "text"), benchmark, window, block_words))
+        bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words")))
         return keyed.join(bad.select(F.col("doc_id").alias("_siltstone_row")), "_siltstone_row", "left_anti").select(*documents.columns)
     frequency = frequencies(stored(indexed(documents, first), "postings"), len(first.term))
     shared = documents.sparkSession.sparkContext.broadcast((first, first.anchors(frequency)))
@@ -308,7 +310,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
             good = []
             for ids, lengths, *index in shards(list(range(batch.num_rows)), column(batch, "text").to_pylist(), tests.term, SHARD_BYTES):
                 hits, _ = by_document(tests, anchors, lengths, *index)
-                good += [not contaminated(covered(np.array(hits[d], "<i4").tobytes()), n) if d in hits else True for d, n in enumerate(lengths.tolist())]
+                good += [d not in hits or covered(np.array(hits[d], "<i4").tobytes()) < least_share * n for d, n in enumerate(lengths.tolist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return documents.mapInArrow(filtered, documents.schema)
@@ -320,7 +322,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
+    """Pipeline stage: documents that hold a whole window of the test set go, however long they are."""
     tuned(spark)
     return clean(docs, table(spark, sf_dir, "benchmark"))
 

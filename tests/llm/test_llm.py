@@ -368,7 +368,7 @@ def test_decontamination_against_plain(spark, block_words):
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(found)), i
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest() and r["contaminated"] == (hit > 0 and 20 * hit >= n)
-        bad |= {i} if r["contaminated"] else set()
+        bad |= {i} if hit else set()
     clean = decontaminate.clean(d, bench, block_words=block_words)
     assert clean.columns == d.columns and {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - bad
 
@@ -380,6 +380,17 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.report(d.limit(0), b).count() == 0
 
 
+def test_stage_drops_a_long_document_with_one_window(spark, tmp_path):
+    rng = random.Random(21)
+    item = words_of(rng, "abcdefgh", 13)
+    long = words_of(rng, "ijklmnop", 1000)
+    d = docs(spark, [f"{long} {item} {long}", f"{long} {item.rsplit(' ', 1)[0]} {long}", "", None])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"] for r in decontaminate.stage(spark, d, str(tmp_path)).collect()} == {1, 2, 3}
+    few = decontaminate.clean(d, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), least_share=0.05)
+    assert few.count() == 4
+
+
 def test_proximity(spark):
     b = spark.createDataFrame([(1, "red fox runs")], "item_id long, text string")
     d = docs(spark, ["a red big fox quickly runs", "red fox", "runs fox red", "red x x x x fox runs"])
