@@ -28,21 +28,44 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one of this machine in local mode (tests); on a
+    cluster, where executors couldn't see each other's files there, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "siltstone-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables of this session's stored() that cleanup() has not deleted yet.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/siltstone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the list of stored tables, for cleanup()."""
+    return len(_made)
+
+
+def cleanup(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that stored() has written since a mark(), but for the last `keep`. Call it once the results made of
+    them are written: data frames over deleted tables can't be read any more."""
+    gone = _made[since : len(_made) - keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[since : since + len(gone)]
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -1,23 +1,25 @@
 """Operator 8: benchmark decontamination by a distributed positional inverted index.
 
-The index is dealt by document. A shard holds some hundred documents: for every term of the test set the sorted
-positions of the term in the shard, and the documents' lengths in words. Shards are written to the shared folder; no
-posting is shuffled, so a frequent term is as cheap as its postings in each shard, and terms outside the test set are
-never stored. The terms' collection frequencies are summed over all shards.
+The index holds every word of the training documents and doesn't depend on the test set. It is dealt by document: a shard
+of about SHARD_BYTES of text keeps, for every different word (a 64-bit hash), the sorted positions where it stands, and the
+documents' lengths in words. Shards are written to the shared folder; no posting is shuffled, so a frequent word is as cheap
+as its postings in each shard.
 
-A window (13 consecutive test words, or all of a shorter item) is looked up from its rarest term: the postings of that
-term are intersected with the lists of its neighbours, adjusted by their offsets, outwards until a list fails. Windows of
-one item with the same rarest word share that anchor. The test set is broadcast in blocks of about BLOCK_WORDS words, so
-what is broadcast has a fixed bound; several blocks are matched one after another and their hits united by row.
+A window (13 consecutive test words, or all of a shorter item) is looked up from its rarest word, by frequency in all shards:
+the postings of that word are intersected with the lists of its neighbours in the test item, adjusted by their offsets,
+outwards until a list has no such position. With a slop, every neighbour may stand up to that many other words further off.
+Windows of one item with the same rarest word share that anchor. The test set is broadcast in blocks of about BLOCK_WORDS
+words, so what is broadcast has a fixed bound; several blocks are matched one after another over the same index.
 
-Null texts have no words and no hits. Repeated documents each get a row; repeated items count once by id."""
+Null texts have no words and no hits. Repeated documents each get a row, null ids too; repeated items count once by id; items
+without id or words take no part. Very long texts make a shard of their own. Further columns are not read by the query and
+stay as they are in the stage, whatever they are called. Of empty tables the result is empty, or has no hits."""
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,34 +27,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import column, stored, table, tuned
+from siltstone.llm.words import of_text, raw, word_hashes
 
 WINDOW, SHARD_BYTES, BLOCK_WORDS = 13, 1_000_000, 1_000_000
-#: A-Z to a-z; all that is no word byte to a space.
-_FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+#: Other words that proximity() lets stand between neighbours of a window.
+SLOP = 2
+#: Rows of hit documents that may be broadcast, about 24 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 class TestSet:
-    """Items as arrays of term numbers, one block."""
+    """One block of items as arrays of word hashes, and the places where their windows are looked up."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window, self.term = window, {}
-        self.items = [(i, np.array([self.term.setdefault(w, len(self.term)) for w in ws], dtype=np.int32)) for i, ws in items]
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
+        self.window, self.names = window, [i for i, _ in items]
+        self.size = np.array([len(w) for _, w in items], dtype=np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        flat = np.concatenate([w for _, w in items]) if items else np.zeros(0, dtype=np.uint64)
+        self.terms, self.flat = np.unique(flat, return_inverse=True)  # different words; the items' words by number
+        self.item = self.place = np.zeros(0, dtype=np.int64)
 
-    def anchors(self, frequency: np.ndarray) -> dict[str, np.ndarray]:
-        """For every window the place of its rarest word, each place of an item once, sorted by term."""
+    def anchor(self, frequency: np.ndarray) -> TestSet:
+        """Sets, for every window, the place of its rarest word; each place of an item once."""
         found = []
-        for k, (_, terms) in enumerate(self.items):
-            width, rare = min(self.window, len(terms)), frequency[terms]
-            places = {int(s + np.argmin(rare[s : s + width])) for s in range(len(terms) - width + 1)}
-            found += [(int(terms[p]), k, p) for p in places]
-        term, item, place = (np.array(x, dtype=np.int64) for x in (zip(*sorted(found)) if found else ((), (), ())))
-        return {"term": term, "item": item, "place": place}
+        for k, (base, n) in enumerate(zip(self.base.tolist(), self.size.tolist())):
+            width, rare = min(self.window, n), frequency[self.flat[base : base + n]]
+            found += [(k, p) for p in sorted({s + int(np.argmin(rare[s : s + width])) for s in range(n - width + 1)})]
+        self.item, self.place = (np.array(x, dtype=np.int64) for x in (zip(*found) if found else ((), ())))
+        return self
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[TestSet]:
@@ -60,7 +64,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, window: int = WINDOW)
     items, n = [], 0
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("i"), "text")
     for r in rows.toLocalIterator():
-        if ws := words(r["text"]):
+        if len(ws := of_text(r["text"])):
             items.append((r["i"], ws))
             n += len(ws)
         if n >= most:
@@ -70,192 +74,196 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, window: int = WINDOW)
         yield TestSet(items, window)
 
 
-_SHARD = ["doc_ids", "lengths", "terms", "counts", "postings"]
+class Shard:
+    """Postings of some documents: different words in order, how often each stands, and where."""
+
+    def __init__(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray):
+        self.terms, self.counts, self.postings = terms, counts, postings.astype(np.int64)
+        self.ends = np.cumsum(lengths)
+        self.begins = self.ends - lengths
+        # All lists in one: a word's number times the shard's length, plus the position. In order, as the lists are.
+        self.total = int(lengths.sum()) + 1
+        self.lists = np.repeat(np.arange(len(terms)) * self.total, counts) + self.postings
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Each word's number among the shard's, -1 where it isn't there."""
+        at = np.minimum(np.searchsorted(self.terms, words), max(0, len(self.terms) - 1))
+        return np.where(self.terms[at] == words, at, -1) if len(self.terms) else np.full(len(words), -1)
+
+    def holds(self, number: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether the position is in the word's list."""
+        key = number * self.total + position
+        at = np.minimum(np.searchsorted(self.lists, key), len(self.lists) - 1)
+        return (number >= 0) & (self.lists[at] == key)
+
+
+def shard_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """terms, counts and postings of words by their position."""
+    order = np.argsort(h, kind="stable")
+    terms, counts = np.unique(h[order], return_counts=True)
+    return terms, counts, order
 
 
-def shards(ids: list, texts: list, term: dict[bytes, int], shard_bytes: int) -> Iterator[tuple]:
-    """Documents in order, cut into shards: (ids, lengths, terms, counts, positions by term)."""
-    mine, lengths, found, size = [], [], [], 0
-    for k, (i, text) in enumerate(zip(ids, texts), 1):
-        ws = words(text)
-        mine.append(i)
-        lengths.append(len(ws))
-        found += [term.get(w, -1) for w in ws]
-        size += len(text or "")
-        if size >= shard_bytes or k == len(ids):
-            t = np.array(found, dtype=np.int32)
-            at = np.flatnonzero(t >= 0)
-            terms, counts = np.unique(t[at], return_counts=True)
-            yield mine, np.array(lengths, dtype=np.int64), terms, counts, at[np.argsort(t[at], kind="stable")]
-            mine, lengths, found, size = [], [], [], 0
+_INDEX = "shard long, doc_ids array<long>, keys array<long>, lengths binary, terms binary, counts binary, postings binary"
 
 
-def indexed(documents: DataFrame, tests: TestSet, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_ids, lengths, terms, counts, postings): one row a shard, postings as 32-bit positions by term."""
-    term = documents.sparkSession.sparkContext.broadcast(tests.term)  # bounded by BLOCK_WORDS
-    kinds = [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+def indexed(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, doc_ids, keys, lengths, terms, counts, postings): one row a shard; keys are hashes of the documents' texts."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    names = [c.split()[0] for c in _INDEX.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, lengths, terms, counts, at in shards(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), term.value, shard_bytes):
-                row = ids, lengths.astype("<i4").tobytes(), terms.tolist(), counts.tolist(), at.astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], _SHARD)
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            data, offsets = raw(whole)
+            cuts = np.unique([0, *np.searchsorted(offsets, np.arange(shard_bytes, int(offsets[-1]), shard_bytes)), whole.num_rows])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                h, lengths = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                terms, counts, at = shard_of(h)
+                ids, keys = (column(whole, c).slice(a, b - a).to_pylist() for c in ("doc_id", "key"))
+                row = made, ids, keys, lengths.astype("<i4").tobytes(), terms.astype("<u8").tobytes(), counts.astype("<i4").tobytes(), at.astype("<i4").tobytes()
+                made += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(build, _INDEX)
+
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_ids array<long>, lengths binary, terms array<int>, counts array<long>, postings binary")
+def _array(batch: pa.RecordBatch, name: str, row: int, kind: str) -> np.ndarray:
+    return np.frombuffer(column(batch, name)[row].as_py(), kind)
 
 
-def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each term in all documents; at most BLOCK_WORDS rows meet the driver."""
-    out = np.zeros(n_terms, dtype=np.int64)
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-    for r in pairs.toLocalIterator():
-        out[r["terms"]] = r["n"]
+def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Occurrences of each of the sorted words in all documents; at most BLOCK_WORDS rows meet the driver."""
+    wanted = index.sparkSession.sparkContext.broadcast(terms)  # bounded by BLOCK_WORDS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(wanted.value), dtype=np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                have = _array(batch, "terms", r, "<u8")
+                if len(have):
+                    at = np.minimum(np.searchsorted(have, wanted.value), len(have) - 1)
+                    sums += np.where(have[at] == wanted.value, _array(batch, "counts", r, "<i4")[at], 0)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["term", "n"])
+
+    out = np.zeros(len(terms), dtype=np.int64)
+    for r in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["term"]] = r["n"]
     return out
 
 
-def intersect(tests: TestSet, anchors: dict, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, first, last) of every run of a shard's words that holds a whole window of the item, last exclusive."""
-    ends = np.cumsum(counts)
-    where = np.searchsorted(terms, anchors["term"])
-    where[where == len(terms)] = 0
-    known = np.flatnonzero(terms[where] == anchors["term"]) if len(terms) else np.zeros(0, dtype=np.int64)
+def intersect(tests: TestSet, shard: Shard, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, document of the shard, first, last) of runs of words that hold a whole window of the item, last exclusive.
+
+    From each occurrence of an anchor outwards, step by step: what is reached at a step are the positions in the next word's
+    list that lie 1 to slop + 1 words beyond one reached before. All of them are kept, so none is lost to a nearer one. Without
+    slop a run covers all windows around its anchor; with slop it ends where the furthest reachable word is nearest."""
+    none = (np.zeros(0, dtype=np.int64),) * 4
+    number = shard.numbers(tests.terms)
+    lead = number[tests.flat[tests.base[tests.item] + tests.place]] if len(tests.item) else np.zeros(0, dtype=np.int64)
+    known = np.flatnonzero(lead >= 0)
     if not len(known):
-        return (np.zeros(0, dtype=np.int64),) * 3
-    n = counts[where[known]]
-    anchor = np.repeat(known, n)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = postings[np.repeat(ends[where[known]] - n, n) + within].astype(np.int64)
-    # The shard's words by position: looking up a position is the intersection with the list of the term found there.
-    total = int(lengths.sum())
-    held = np.full(total + 1, -1, dtype=np.int32)
-    held[postings] = np.repeat(terms, counts)
-    doc_end = np.cumsum(lengths)
-    doc = np.searchsorted(doc_end, at, side="right")
-    low, high = (doc_end - lengths)[doc], doc_end[doc]
-    item, place = anchors["item"][anchor], anchors["place"][anchor]
-    size = np.array([len(t) for _, t in tests.items], dtype=np.int64)
-    base = np.cumsum(size) - size
-    flat = np.concatenate([t for _, t in tests.items])
-    width = np.minimum(tests.window, size)[item]
-    left, right = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-    for step, run in ((-1, left), (1, right)):
-        live = np.arange(len(at))
+        return none
+    n = shard.counts[lead[known]].astype(np.int64)
+    stop = np.cumsum(shard.counts)[lead[known]]
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = shard.postings[np.repeat(stop - n, n) + within]
+    item, place = np.repeat(tests.item[known], n), np.repeat(tests.place[known], n)
+    doc = np.searchsorted(shard.ends, at, side="right")
+    low, high, size = shard.begins[doc], shard.ends[doc], tests.size[item]
+    steps, edge = {}, {}
+    for step in (-1, 1):
+        far, end = np.zeros(len(at), dtype=np.int64), at.copy()
+        live, reached = np.arange(len(at)), at
         for d in range(1, tests.window):
-            p, q = at[live] + step * d, place[live] + step * d
-            ok = (p >= low[live]) & (p < high[live]) & (q >= 0) & (q < size[item[live]])
-            live, p, q = live[ok], p[ok], q[ok]
-            ok = held[p] == flat[base[item[live]] + q]
-            live = live[ok]
-            run[live] = d
+            ok = (place[live] + step * d >= 0) & (place[live] + step * d < size[live])
+            live, reached = live[ok], reached[ok]
             if not len(live):
                 break
-    good = np.flatnonzero(left + right + 1 >= width)
-    return item[good], at[good] - left[good], at[good] + right[good] + 1
-
-
-def by_document(tests: TestSet, anchors: dict, lengths, terms, counts, postings) -> tuple[dict[int, list], dict[int, set]]:
-    """Hits (first and last word, last exclusive) and items of a shard's documents by their place in it."""
-    item, first, last = intersect(tests, anchors, lengths, terms, counts, postings)
-    hits, items = defaultdict(list), defaultdict(set)
-    if len(item):
-        ends = np.cumsum(lengths)
-        doc = np.searchsorted(ends, first, side="right")
-        begin = (ends - lengths)[doc]
-        for k, d, a, b in zip(item.tolist(), doc.tolist(), (first - begin).tolist(), (last - begin).tolist()):
-            hits[d] += (a, b)
-            items[d].add(tests.items[k][0])
-    return hits, items
-
-
-def matches(index: DataFrame, tests: TestSet, frequency: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, hits, items): hits as 32-bit pairs of first and last word, last exclusive, of whole phrases."""
-    shared = index.sparkSession.sparkContext.broadcast((tests, tests.anchors(frequency)))  # bounded by BLOCK_WORDS
+            word = number[tests.flat[tests.base[item[live]] + place[live] + step * d]]
+            live, near, word = (np.repeat(x, slop + 1) for x in (live, reached, word))
+            near = near + step * np.tile(np.arange(1, slop + 2), len(reached))
+            ok = (near >= low[live]) & (near < high[live])
+            live, near, word = live[ok], near[ok], word[ok]
+            ok = shard.holds(word, near)
+            live, reached = live[ok], near[ok]
+            if slop and len(live):
+                both = np.unique(live * shard.total + reached)
+                live, reached = both // shard.total, both % shard.total
+            far[live] = d
+            order = np.lexsort((-step * reached, live)) if slop else slice(None)  # the nearest to the anchor is set last
+            end[live[order]] = reached[order]
+        steps[step], edge[step] = far, end
+    good = np.flatnonzero(steps[-1] + steps[1] + 1 >= np.minimum(tests.window, size))
+    begin = shard.begins[doc[good]]
+    return item[good], doc[good], edge[-1][good] - begin, edge[1][good] + 1 - begin
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, np.ndarray, Shard]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            lengths = _array(batch, "lengths", r, "<i4").astype(np.int64)
+            shard = Shard(lengths, _array(batch, "terms", r, "<u8"), _array(batch, "counts", r, "<i4"), _array(batch, "postings", r, "<i4"))
+            yield column(batch, "shard")[r].as_py(), column(batch, "doc_ids")[r].as_py(), column(batch, "keys")[r].as_py(), lengths, shard
+
+
+def matches(index: DataFrame, tests: TestSet) -> DataFrame:
+    """(shard, at, doc_id, key, n_words, hits, items) for each document: hits as 32-bit pairs of first and last word, last
+    exclusive, of whole phrases; at is the document's place in its shard."""
+    shared = index.sparkSession.sparkContext.broadcast(tests)  # bounded by BLOCK_WORDS
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = column(batch, "doc_ids")[r].as_py()
-                lengths = np.frombuffer(column(batch, "lengths")[r].as_py(), "<i4").astype(np.int64)
-                terms, counts = (column(batch, c)[r].values.to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
-                hits, items = by_document(*shared.value, lengths, terms, counts, np.frombuffer(column(batch, "postings")[r].as_py(), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(lengths), pa.array([np.array(hits.get(d, ()), "<i4").tobytes() for d in range(len(ids))], pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "hits", "items"],
-                )
+        for shard_id, ids, keys, lengths, shard in _shards(batches):
+            hits, items = defaultdict(list), defaultdict(set)
+            for k, d, a, b in zip(*(x.tolist() for x in intersect(shared.value, shard))):
+                hits[d] += (a, b)
+                items[d].add(shared.value.names[k])
+            n = len(ids)
+            columns = [pa.array([shard_id] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(lengths)]
+            columns += [pa.array([np.array(hits.get(d, ()), "<i4").tobytes() for d in range(n)], pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "at", "doc_id", "key", "n_words", "hits", "items"])
 
-    return index.mapInArrow(look, "doc_id long, n_words long, hits binary, items array<string>")
+    return index.mapInArrow(look, "shard long, at int, doc_id long, key long, n_words long, hits binary, items array<string>")
 
 
 def phrases(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """matches() against the whole test set, one row for each row of documents."""
-    parts = blocks(benchmark, block_words, window)
-    first, second = next(parts, TestSet([], window)), next(parts, None)
-
-    def matched(rows: DataFrame, tests: TestSet) -> DataFrame:
-        index = stored(indexed(rows, tests), "postings")
-        return matches(index, tests, frequencies(index, len(tests.term)))
-
-    if second is None:
-        return matched(documents, first)
-    keyed = stored(documents.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("id"), "text"), "keyed")
-    rows = keyed.select(F.col("key").alias("doc_id"), "text")
-    found = matched(rows, first)
-    for tests in chain([second], parts):
-        found = found.unionByName(matched(rows, tests))
-    merged = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.join(keyed.select(F.col("key").alias("doc_id"), "id"), "doc_id").select(F.col("id").alias("doc_id"), "n_words", "hits", "items")
-
-
-def reachable(at: int, path: list[int], step: int, lists: dict[int, np.ndarray], slop: int, begin: int, end: int) -> np.ndarray:
-    """All positions in [begin, end), sorted, where the last word of `path` may stand if its words follow `at` in the
-    direction of `step`, each at most `slop` other words beyond the one before."""
-    reached = np.array([at], dtype=np.int64)
-    for w in path:
-        near = lists.get(w, np.zeros(0, dtype=np.int32))
-        near = near[np.searchsorted(near, begin) : np.searchsorted(near, end)].astype(np.int64)
-        # A position is reached if one that is reached lies 1 to slop + 1 words before it in the path's direction.
-        low, high = (near - slop - 1, near - 1) if step > 0 else (near + 1, near + slop + 1)
-        reached = near[np.searchsorted(reached, high, side="right") > np.searchsorted(reached, low, side="left")]
-        if not len(reached):
-            break
-    return reached
-
-
-def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:
+    index, found, n = stored(indexed(documents), "postings"), None, 0
+    for tests in blocks(benchmark, block_words, window):
+        part = matches(index, tests.anchor(frequencies(index, tests.terms)))
+        found, n = part if found is None else found.unionByName(part), n + 1
+    if found is None:
+        return matches(index, TestSet([], window))
+    if n == 1:
+        return found
+    merged = found.groupBy("shard", "at").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "key", "n_words")],
+        F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    )
+    return merged.select("shard", "at", "doc_id", "key", "n_words", "hits", "items")
+
+
+def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, first, last): where all the words of a window stand in order with at most `slop` other words
-    between neighbours, found from the rarest word outwards; of the places around one occurrence of that word, the narrowest.
-    Exact phrases are those of slop 0."""
-    out = None
-    for tests in blocks(benchmark, BLOCK_WORDS, window):
-        index = stored(indexed(documents, tests), "postings")
-        frequency = frequencies(index, len(tests.term))
-        shared = index.sparkSession.sparkContext.broadcast((tests, tests.anchors(frequency)))
+    between neighbours, looked up from the rarest word outwards. Exact phrases are those of slop 0. A run covers the windows
+    around one occurrence of that word; a document that holds several runs has a row for each."""
+    index, out = stored(indexed(documents), "postings"), None
+    for tests in blocks(benchmark, block_words, window):
+        shared = index.sparkSession.sparkContext.broadcast(tests.anchor(frequencies(index, tests.terms)))
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tests, anchors = shared.value
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    ids, lengths = column(batch, "doc_ids")[r].as_py(), np.frombuffer(column(batch, "lengths")[r].as_py(), "<i4").astype(np.int64)
-                    counts = np.array(column(batch, "counts")[r].values, dtype=np.int64)
-                    lists = dict(zip(column(batch, "terms")[r].as_py(), np.split(np.frombuffer(column(batch, "postings")[r].as_py(), "<i4"), np.cumsum(counts)[:-1])))
-                    ends = np.cumsum(lengths)
-                    found = set()
-                    for term, k, place in zip(*(anchors[x].tolist() for x in ("term", "item", "place"))):
-                        words, width = tests.items[k][1].tolist(), min(tests.window, len(tests.items[k][1]))
-                        for at in lists.get(term, ()):
-                            d = int(np.searchsorted(ends, at, side="right"))
-                            for s in range(max(0, place - width + 1), min(place, len(words) - width) + 1):
-                                begin, end = int(ends[d] - lengths[d]), int(ends[d])
-                                before = reachable(int(at), words[s:place][::-1], -1, lists, slop, begin, end)
-                                after = reachable(int(at), words[place + 1 : s + width], 1, lists, slop, begin, end) if len(before) else before
-                                if len(after):
-                                    found.add((ids[d], tests.items[k][0], int(before[-1]) - begin, int(after[0]) + 1 - begin))
-                    rows = list(zip(*sorted(found, key=str))) or [()] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], ["doc_id", "item_id", "first", "last"])
+            for _, ids, _, _, shard in _shards(batches):
+                found = {(d, shared.value.names[k], a, b) for k, d, a, b in zip(*(x.tolist() for x in intersect(shared.value, shard, slop)))}
+                rows = list(zip(*[(ids[d], k, a, b) for d, k, a, b in sorted(found)])) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "first", "last"])
 
         part = index.mapInArrow(look, "doc_id long, item_id string, first long, last long")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id long, item_id string, first long, last long")
 
 
 def contaminated(n_hit: int, n_words: int) -> bool:
@@ -263,7 +271,8 @@ def contaminated(n_hit: int, n_words: int) -> bool:
 
 
 def digested(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key."""
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, key long"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,9 +280,10 @@ def digested(rows: DataFrame) -> DataFrame:
             n_hit = [covered(h) for h in column(batch, "hits").to_pylist()]
             digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
             bad = [contaminated(h, n) for h, n in zip(n_hit, n_words)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            columns = [column(batch, "doc_id"), column(batch, "n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_()), column(batch, "key")]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return rows.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(digest, schema)
 
 
 def covered(hits: bytes) -> int:
@@ -286,34 +296,18 @@ def covered(hits: bytes) -> int:
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    return digested(phrases(documents, benchmark, window, block_words))
+    return digested(phrases(documents, benchmark, window, block_words)).drop("key")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, least_share: float = 0.0) -> DataFrame:
     """The rows of documents without a whole window of the test set, all columns. With `least_share`, only those go in which
-    hit words make that share of all words or more."""
-    parts = blocks(benchmark, block_words, window)
-    first, second = next(parts, None), next(parts, None)
-    if first is None:
-        return documents
-    if second is not None:  # the hits of several blocks add up, so rows are told apart by a key and joined
-        keyed = stored(documents.withColumn("_siltstone_row", F.monotonically_increasing_id()), "rows")
-        found = digested(phrases(keyed.select(F.col("_siltstone_row").alias("doc_id"), "text"), benchmark, window, block_words))
-        bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words")))
-        return keyed.join(bad.select(F.col("doc_id").alias("_siltstone_row")), "_siltstone_row", "left_anti").select(*documents.columns)
-    frequency = frequencies(stored(indexed(documents, first), "postings"), len(first.term))
-    shared = documents.sparkSession.sparkContext.broadcast((first, first.anchors(frequency)))
-
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests, anchors = shared.value
-        for batch in batches:
-            good = []
-            for ids, lengths, *index in shards(list(range(batch.num_rows)), column(batch, "text").to_pylist(), tests.term, SHARD_BYTES):
-                hits, _ = by_document(tests, anchors, lengths, *index)
-                good += [d not in hits or covered(np.array(hits[d], "<i4").tobytes()) < least_share * n for d, n in enumerate(lengths.tolist())]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return documents.mapInArrow(filtered, documents.schema)
+    hit words make that share of all words or more. Rows are told apart by id and text, so an id's other texts stay."""
+    found = digested(phrases(documents, benchmark, window, block_words))
+    hit = found.where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words")))
+    bad = stored(hit.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct(), "hit")
+    if bad.count() <= BROADCAST_ROWS:  # else a join by shuffle
+        bad = F.broadcast(bad)
+    return documents.join(bad, (F.xxhash64(documents["text"]) == bad["_bad_key"]) & documents["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -321,6 +315,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_query(spark, sf_dir: str) -> DataFrame:
+    """Proximity matches of all benchmark items in all documents, SLOP other words at most between neighbours."""
+    tuned(spark)
+    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a whole window of the test set go, however long they are."""
     tuned(spark)

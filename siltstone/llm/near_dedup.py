@@ -7,16 +7,16 @@ non-ASCII characters, A-Z lower-cased. A shingle weighs its count times a satura
 
 so shingles in less than IDF_FULL of all documents weigh 1 and only widespread boilerplate weighs less, never under
 IDF_FLOOR; a large group of near copies keeps its similarity. Shingles that reach IDF_FULL are few (at most the average
-length over IDF_FULL), so df is counted exactly for those alone: one that is frequent in all documents is frequent in at
-least one block of documents, the blocks' frequent shingles are candidates, and a second pass counts them everywhere.
+length over IDF_FULL), so df is counted exactly for those alone: mergeable summaries of all blocks of documents leave a few
+candidates, and a second pass counts them everywhere.
 
 1. Rows of equal text form a class; its smallest doc_id stands for it.
 2. Each text gets BANDS keys of ROWS ICWS samples each, and one that repeats shingles gets BANDS more as if each stood
    once, for the plain similarity. Texts that share a key are candidates. The idf alone, never under IDF_FLOOR, leaves a plain
    similarity of 0.8 a weighted one of 2/3 at least, which 12 bands of 3 find in 98 % of all pairs.
-3. Buckets of the same members are compared once. A bucket of over BUCKET_BLOCK texts is cut into blocks and every pair of
-   blocks is a task of its own, so no task holds an unbounded group. Within a task overlaps are counted over an
-   inverted list of shingles, and texts are linked whose weighted Jaccard similarity is SIMILARITY or more, or whose plain
+3. Buckets of the same members are compared once. A bucket of over BUCKET_BLOCK texts is cut into blocks, so no task holds an
+   unbounded group; each block is compared with a few representatives of the bucket, and what isn't near to them with every
+   block. Within a task overlaps are counted over an inverted list of shingles, and texts are linked whose weighted Jaccard similarity is SIMILARITY or more, or whose plain
    one is (all weights 1): a large group makes its own shingles frequent, and must not be parted by that. Texts that are
    linked already, over others, are not compared again. Nothing is capped or sampled.
 4. Components of the links give class ids by repeated minima with pointer jumping, a stored table each round.
@@ -36,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import column, stored, table, tuned
+from siltstone.llm.words import STEP, mixed, raw, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 IDF_FULL, IDF_FLOOR = 0.01, 0.5
 BUCKET_BLOCK = 1024
+#: Texts of a large bucket that all its others are compared with first.
+REPRESENTATIVES = 16
 #: Candidates of the frequent shingles that one pass counts; further ones take further passes.
 SLICE = 2_000_000
 #: Bytes of text that are hashed at a time.
@@ -48,49 +51,18 @@ CHUNK = 1 << 17
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_IS_WORD = np.zeros(256, dtype=bool)
-_IS_WORD[0x30:0x3A] = _IS_WORD[0x41:0x5B] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_rng = np.random.default_rng(20240301)
 _LAG = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _SAMPLES = BANDS * ROWS
 _TIMES = _rng.integers(1, 2**63, _SAMPLES, dtype=np.uint64) | np.uint64(1)
-# ICWS draws, r and c from Gamma(2, 1) and beta uniform, by sample and by 16 bits of the shingle's hash.
+# ICWS draws by sample: r from Gamma(2, 1) and beta uniform by 16 bits of the shingle's hash, c from Gamma(2, 1) by 16 others,
+# so that two shingles have the same draws with a chance of 2**-32.
 _R = _rng.gamma(2.0, 1.0, (_SAMPLES, 1 << 16)).astype(np.float32)
 _C = _rng.gamma(2.0, 1.0, (_SAMPLES, 1 << 16)).astype(np.float32)
 _BETA = _rng.random((_SAMPLES, 1 << 16), dtype=np.float32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie back to back in `data`, and the number of words of each text."""
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
-    word = _IS_WORD[data]
-    before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
-    before[1:], after[:-1] = word[:-1], word[1:]
-    cuts = offsets[(offsets > 0) & (offsets < len(data))]
-    before[cuts] = False
-    after[cuts - 1] = False
-    starts, lengths = np.flatnonzero(word & ~before), None
-    lengths = np.flatnonzero(word & ~after) + 1 - starts
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = np.multiply.accumulate(np.full(int(lengths.max()), _STEP, dtype=np.uint64))
-    h = np.add.reduceat(_BYTE[data[word]] * powers[inside], first)
-    return mixed(h), np.diff(np.searchsorted(starts, offsets))
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, count, shingles of each text): each text's different shingles, sorted by hash."""
     if len(data) > CHUNK and len(offsets) > 2:  # chunks that stay in cache
@@ -119,25 +91,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[starts], np.diff(np.append(starts, len(out))), np.bincount(doc[starts], minlength=len(n))
 
 
-def raw(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes and offsets; nulls are empty."""
-    texts = column(batch, "text").cast(pa.large_binary())
-    if texts.null_count:
-        texts = texts.fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(texts) and texts.buffers()[2] else np.zeros(0, dtype=np.uint8)
-    return data, offsets - (offsets[0] if len(offsets) else 0)
-
-
 def frequent(documents: DataFrame, n: int, share: float = IDF_FULL) -> dict[int, int]:
-    """df of every shingle in at least `share` of the n documents."""
+    """df of every shingle in at least `share` of the n documents, whatever the partitions.
+
+    Candidates are heavy hitters by mergeable summaries: a block of d documents takes half of share x d, rounded down, from
+    each shingle's count and passes on what is left. All blocks together take at most half of share x n, so a shingle whose
+    sum falls under the other half can't be frequent; the few that stay are counted exactly."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, size = [], 0, 0
 
         def block() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(h[c >= max(1, math.ceil(share * docs))].view(np.int64))], ["h"])
+            c = c - int(share * docs / 2)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 0].view(np.int64)), pa.array(c[c > 0])], ["h", "n"])
 
         for batch in batches:
             held.append(shingles(*raw(batch))[0])
@@ -151,10 +118,11 @@ def frequent(documents: DataFrame, n: int, share: float = IDF_FULL) -> dict[int,
     if not n:
         return {}
     texts = documents.select("text")
-    candidates = stored(texts.mapInArrow(local, "h long").distinct(), "frequent")
-    total, found, df = candidates.count(), {}, None
+    heavy = texts.mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n / 2).select("h")
+    candidates = stored(heavy, "frequent")
+    total, found = candidates.count(), {}  # at most twice the average length over share
     slices = max(1, -(-total // SLICE))
-    for k in range(slices):  # one, unless the blocks' frequent shingles are more than SLICE
+    for k in range(slices):  # one, unless the texts are of book length
         part = np.sort(candidates.where(F.pmod("h", F.lit(slices)) == k).toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
         shared = documents.sparkSession.sparkContext.broadcast(part)
 
@@ -167,8 +135,9 @@ def frequent(documents: DataFrame, n: int, share: float = IDF_FULL) -> dict[int,
             keep = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(wanted[keep].view(np.int64)), pa.array(sums[keep])], ["h", "n"])
 
-        df = texts.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n)
-        found |= {r["h"]: r["n"] for r in df.toLocalIterator()}
+        if len(part):
+            df = texts.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n)
+            found |= {r["h"]: r["n"] for r in df.toLocalIterator()}
     return found
 
 
@@ -201,15 +170,16 @@ def samples(h: np.ndarray, w: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     odd = np.flatnonzero(w != 1)
     log_w, low = np.log(w[odd]), h & _LOW
     for k in range(_SAMPLES):
-        at = (h * _TIMES[k]) >> np.uint64(48)
-        key = _unit(k)[at] | low
+        x = h * _TIMES[k]
+        at, c = (x >> np.uint64(48)).astype(np.int64), _C[k][(x >> np.uint64(32)).astype(np.uint16)]
+        key = _bits(_unit(k)[at] * c) | low
         if len(odd):
             i = at[odd]
             r, beta = _R[k][i], _BETA[k][i]
             t = np.floor(log_w / r + beta)
-            a = (_C[k][i] * np.exp(-r * (t - beta) - r)).astype(np.float32)
-            other = mixed(low[odd] + t.astype(np.int64).view(np.uint64) * _STEP) & _LOW
-            key[odd] = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | np.where(t == 0, low[odd], other)
+            a = (c[odd] * np.exp(-r * (t - beta) - r)).astype(np.float32)
+            other = mixed(low[odd] + t.astype(np.int64).view(np.uint64) * STEP) & _LOW
+            key[odd] = _bits(a) | np.where(t == 0, low[odd], other)
         out[:, k] = np.minimum.reduceat(key, starts)
     return out
 
@@ -218,17 +188,21 @@ _units: dict[int, np.ndarray] = {}
 
 
 def _unit(k: int) -> np.ndarray:
-    """a for weight 1 by 16 bits of the hash, in the upper half of the key: positive floats sort as their bits."""
+    """a / c for weight 1 by 16 bits of the hash."""
     if k not in _units:
-        a = (_C[k] * np.exp(_R[k] * _BETA[k] - _R[k])).astype(np.float32)
-        _units[k] = a.view(np.uint32).astype(np.uint64) << np.uint64(32)
+        _units[k] = np.exp(_R[k] * _BETA[k] - _R[k]).astype(np.float32)
     return _units[k]
 
 
+def _bits(a: np.ndarray) -> np.ndarray:
+    """In the upper half of a key: positive floats sort as their bits."""
+    return a.view(np.uint32).astype(np.uint64) << np.uint64(32)
+
+
 def band_keys(keys: np.ndarray) -> np.ndarray:
     out = np.zeros((len(keys), BANDS), dtype=np.uint64)
     for b in range(BANDS):
-        h = np.full(len(keys), b + 1, dtype=np.uint64) * _STEP
+        h = np.full(len(keys), b + 1, dtype=np.uint64) * STEP
         for r in range(ROWS):
             h = mixed(h + keys[:, b * ROWS + r] * _LAG[r])
         out[:, b] = h
@@ -268,68 +242,133 @@ def signed(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], also: tuple[str
     return texts.select("doc_id", "text", *also).mapInArrow(sign, ", ".join([_SIGNED, *(f"{c} long" for c in also)]))
 
 
-def linked(h: list[np.ndarray], w: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """The component (smallest member) of each text, linked at a weighted or plain Jaccard similarity of `similarity` or more."""
-    n = len(h)
-    size = np.array([len(x) for x in h])
-    doc, weight = np.repeat(np.arange(n), size), np.concatenate(w).astype(np.float64)
-    _, term = np.unique(np.concatenate(h), return_inverse=True)
-    order = np.argsort(term, kind="stable")
-    by_doc, by_weight = doc[order], weight[order]
-    ends = np.cumsum(np.bincount(term))
-    starts = ends - np.bincount(term)
-    total, first = np.bincount(doc, weight, n), np.cumsum(size) - size
-    unit = bool((weight == 1).all())
-    root = np.arange(n)
-    done = np.zeros(n, dtype=bool)
-    for _ in range(n):
+class Pile:
+    """Texts of one task by an inverted list of their shingles."""
+
+    def __init__(self, h: list[np.ndarray], w: list[np.ndarray], similarity: float = SIMILARITY):
+        self.n, self.similarity = len(h), similarity
+        self.size = np.array([len(x) for x in h])
+        doc, self.weight = np.repeat(np.arange(self.n), self.size), np.concatenate(w).astype(np.float64)
+        _, self.term = np.unique(np.concatenate(h), return_inverse=True)
+        order = np.argsort(self.term, kind="stable")
+        self.by_doc, self.by_weight = doc[order], self.weight[order]
+        self.listed = np.bincount(self.term)
+        self.starts = np.cumsum(self.listed) - self.listed
+        self.total, self.first = np.bincount(doc, self.weight, self.n), np.cumsum(self.size) - self.size
+        self.unit = bool((self.weight == 1).all())
+
+    def near(self, i: int) -> np.ndarray:
+        """The texts, i among them, whose weighted or plain Jaccard similarity with i reaches the threshold."""
+        own = slice(self.first[i], self.first[i] + self.size[i])
+        terms = self.term[own]
+        m = self.listed[terms]
+        at = np.repeat(self.starts[terms], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        common = np.bincount(self.by_doc[at], None, self.n)
+        found = common >= self.similarity * (self.size + self.size[i] - common) - 1e-9
+        if not self.unit:
+            shared = np.bincount(self.by_doc[at], np.minimum(self.by_weight[at], np.repeat(self.weight[own], m)), self.n)
+            found |= shared >= self.similarity * (self.total + self.total[i] - shared) - 1e-9
+        return np.flatnonzero(found)
+
+
+def linked(pile: Pile, asks: np.ndarray | None = None) -> np.ndarray:
+    """The component (smallest member) of each text, of all links of the texts that ask (all, if not given)."""
+    root, done = np.arange(pile.n), np.zeros(pile.n, dtype=bool) if asks is None else ~asks
+    while True:
         # Pairs within a component need no look: once all texts outside the largest have been compared with all, it is done.
-        outside = np.flatnonzero(~done & (root != np.bincount(root, minlength=n).argmax()))
+        outside = np.flatnonzero(~done & (root != np.bincount(root, minlength=pile.n).argmax()))
         if not len(outside):
-            break
+            return root
         i = int(outside[0])
         done[i] = True
-        terms = term[first[i] : first[i] + size[i]]
-        m = ends[terms] - starts[terms]
-        at = np.repeat(ends[terms] - m, m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        common = np.bincount(by_doc[at], None, n)
-        near = common >= similarity * (size + size[i] - common) - 1e-9
-        if not unit:
-            shared = np.bincount(by_doc[at], np.minimum(by_weight[at], np.repeat(weight[first[i] : first[i] + size[i]], m)), n)
-            near |= shared >= similarity * (total + total[i] - shared) - 1e-9
-        near = np.flatnonzero(near)
-        roots = np.unique(root[near])
+        roots = np.unique(root[pile.near(i)])
         if len(roots) > 1:
             root[np.isin(root, roots)] = roots[0]
-    return root
 
 
-def cells(signatures: DataFrame, texts: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
-    """(bucket, i, j, doc_id, h, w): what each task compares."""
-    keys = signatures.select("doc_id", F.explode("bands").alias("key")).select("doc_id", F.xxhash64("key").alias("bucket"))
-    buckets = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("members")).where("n > 1")
-    # Buckets of the same members, as most bands of a group have them, are compared once.
-    chosen = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
-    placed = keys.join(chosen.select("bucket", parts.alias("parts")), "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    placed = placed.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id")
-    return placed.join(texts.select("doc_id", "h", "w"), "doc_id")
+def _pile(cell: pa.Table, similarity: float) -> Pile:
+    h = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("h").to_pylist()]
+    w = [np.frombuffer(x, dtype=np.float32) if x else np.ones(len(k), dtype=np.float32) for x, k in zip(cell.column("w").to_pylist(), h)]
+    return Pile(h, w, similarity)
+
+
+def _star(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    use = np.flatnonzero(ids[root] != ids)
+    return ids[root[use]], ids[use]
 
 
 def links(signatures: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block: int = BUCKET_BLOCK) -> DataFrame:
     """(a, b): a spanning star for each component that a task finds. signatures: the texts that take part."""
+    keys = signatures.select("doc_id", F.explode("bands").alias("key")).select("doc_id", F.xxhash64("key").alias("bucket"))
+    buckets = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("members")).where("n > 1")
+    # Buckets of the same members, as most bands of a group have them, are compared once.
+    chosen = stored(buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+    blobs = texts.select("doc_id", "h", "w")
 
-    def compare(cell: pa.Table) -> pa.Table:
+    def whole(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("doc_id")
-        ids = cell.column("doc_id").to_numpy()
-        h = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("h").to_pylist()]
-        w = [np.frombuffer(x, dtype=np.float32) if x else np.ones(len(k), dtype=np.float32) for x, k in zip(cell.column("w").to_pylist(), h)]
-        root = linked(h, w, similarity) if len(ids) > 1 else np.zeros(len(ids), dtype=np.int64)
-        use = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table([pa.array(ids[root[use]]), pa.array(ids[use])], names=["a", "b"])
+        return pa.table(list(_star(cell.column("doc_id").to_numpy(), linked(_pile(cell, similarity)))), names=["a", "b"])
 
-    return cells(signatures, texts, block).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    small = keys.join(chosen.where(F.col("n") <= block).select("bucket"), "bucket").join(blobs, "doc_id")
+    out = small.groupBy("bucket").applyInArrow(whole, "a long, b long")
+    large = chosen.where(F.col("n") > block)
+    if not large.limit(1).count():
+        return out.distinct()
+    parts = F.ceil(F.col("n") / block).cast("int")
+    members = keys.join(large.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+    return out.unionByName(_large(members, blobs, similarity, block)).distinct()
+
+
+def _large(members: DataFrame, blobs: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links in buckets of several blocks; members: (bucket, doc_id, part, parts).
+
+    Each block is compared with some REPRESENTATIVES of its bucket. Texts near to one of the largest linked group of these
+    are settled: they are one component, and pairs among them need no look. Each other text is compared with all of the
+    bucket, block by block. A large group of near copies so takes as many rows as it has texts, not their square."""
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(REPRESENTATIVES))
+    chosen = members.groupBy("bucket", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
+    placed = chosen.select("bucket", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"))
+    rows = members.select("bucket", "doc_id", "part", F.lit(False).alias("asks")).unionByName(placed)
+
+    def represented(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("asks", "descending"), ("doc_id", "ascending")])
+        ids, bucket = cell.column("doc_id").to_numpy(), cell.column("bucket")[0].as_py()
+        n, pile = int(np.count_nonzero(cell.column("asks").to_numpy(zero_copy_only=False))), _pile(cell, similarity)
+        near = [pile.near(i) for i in range(n)]
+        group = np.arange(n)  # of representatives alone, so that all blocks of a bucket agree on it
+        for i, found in enumerate(near):
+            found = found[found < n]
+            group[np.isin(group, group[found])] = group[found].min() if len(found) else group[i]
+        most = np.bincount(group, minlength=n).argmax() if n else 0
+        settled = np.zeros(len(ids), dtype=bool)
+        for i, found in enumerate(near):
+            if group[i] == most:
+                settled[found] = True
+        a = np.concatenate([np.full(len(f), ids[i]) for i, f in enumerate(near)]) if n else np.zeros(0, dtype=np.int64)
+        b = ids[np.concatenate(near)] if n else np.zeros(0, dtype=np.int64)
+        left = ids[n:][~settled[n:]]
+        a, b, use = a.astype(np.int64), b.astype(np.int64), a != b
+        nothing = pa.nulls(len(left), pa.int64())
+        columns = [pa.concat_arrays([pa.array(a[use]), nothing]), pa.concat_arrays([pa.array(b[use]), pa.array(left)])]
+        return pa.table([pa.array([bucket] * len(columns[0]), pa.int64()), *columns], names=["bucket", "a", "b"])
+
+    first = stored(rows.join(blobs, "doc_id").groupBy("bucket", "part").applyInArrow(represented, "bucket long, a long, b long"), "represented")
+    left = first.where("a is null").select("bucket", F.col("b").alias("doc_id"))
+    counts = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("lots"))
+    sized = members.join(counts, "bucket")
+    asking = left.join(sized.groupBy("bucket").agg(F.first("parts").alias("parts"), F.first("lots").alias("lots")), "bucket")
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("lots")).cast("int")
+    cells = asking.select("bucket", "doc_id", lot.alias("lot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks")).unionByName(
+        sized.select("bucket", "doc_id", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "part", F.lit(False).alias("asks"))
+    )
+
+    def rest(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("doc_id", "ascending"), ("asks", "ascending")])
+        asks = cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        return pa.table(list(_star(cell.column("doc_id").to_numpy(), linked(_pile(cell, similarity), asks))), names=["a", "b"])
+
+    others = cells.join(blobs, "doc_id").groupBy("bucket", "lot", "part").applyInArrow(rest, "a long, b long")
+    return first.where("a is not null").select("a", "b").unionByName(others)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,7 +412,9 @@ def _classed(documents: DataFrame, similarity: float, block: int) -> tuple[DataF
         label = label.join(same.select(F.col("text").alias("label"), F.col("text_id").alias("class_id")), "label")
     else:
         label = label.withColumn("class_id", F.col("label"))
-    named = hashed.join(same, ["h1", "h2"], "left").join(label, "text", "left")
+    # Rows without text are no key of the join, however many they are; AQE splits the one of a large group of copies.
+    named = hashed.where("not alone").join(same, ["h1", "h2"], "left").join(label, "text", "left")
+    named = named.unionByName(hashed.where("alone"), allowMissingColumns=True)
     mine = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("text_id"))
     stays = F.col("alone") | (F.col("doc_id") == F.col("text_id")) & (F.coalesce("label", "text") == F.col("text"))
     return named.select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("class_id", "text_id")).alias("class_id"), mine.alias("text_id"), "h1", "h2", stays.alias("stays")), repeats

@@ -23,6 +23,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_token_counts": token_counts.query,
     "op10_near_dedup": near_dedup.query,
+    "proximity_matches": decontaminate.proximity_query,
     "pipeline": pipeline,
 }
 
