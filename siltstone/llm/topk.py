@@ -1,87 +1,134 @@
 """Operator 7: exact top-k by exhaustive term-at-a-time accumulation.
 
-Vectors become sparse integer rows: component t is a term of weight floor(64 x). Rows are dealt into blocks by a hash of
-the id, queries and candidates alike, and each pair of a query block and a candidate block is one bounded task: the
-candidates' postings are laid out by term, each term's weighted postings are added to the dense score array of the
-block's queries, and the k best of each query are partitioned off. The blocks' lists are merged by rank.
+Vectors become sparse integer rows: component t is a term of weight floor(64 x), terms of weight 0 are left out. Rows are
+dealt into blocks by a hash of the id, queries and candidates alike, and each pair of a query block and a candidate block is
+one bounded task: the candidates' postings are laid out by term, the weighted postings of a query's terms are scattered into
+the dense score array of the block, and the k best of each query are partitioned off. The blocks' lists are merged by rank.
 
 Block counts follow the row counts, so a task never holds more than about BLOCK rows of either kind, whatever the input.
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; a shorter vector lacks
-the further terms. Weights beyond +-2^31 count as that. Rows that share an id each count as candidates, but never for a
-query of that id; a query id that occurs twice is asked once, with the vector that sorts first."""
+the further terms. Scores are exact at any size of weight: rows whose products could pass 63 bits are summed as integers
+without a bound, and a returned score that is no long is an error. Rows that share an id each count as candidates, but never
+for a query of that id; a query id that occurs twice is asked once, with the vector that sorts first. Ties go to the smaller
+id. Further columns aren't read; an empty table has no rows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  # pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-SCALE, BLOCK, LEAST_BLOCKS = 64, 8192, 16
+SCALE, BLOCK, LEAST_BLOCKS = 64, 32768, 16
+#: Scores of a group of queries, in numbers, that stay in cache.
+CACHED = 1 << 18
 _PARTIAL = "query_id long, vec_id long, score long"
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, w): the usable rows with their integer weights."""
+    """(vec_id, terms, weights): the usable rows as sparse integer rows; weights are whole doubles."""
     x = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    limit = float(2**31)
-    weights = F.transform(x, lambda v: F.floor(F.greatest(F.lit(-limit), F.least(F.lit(limit), v * SCALE))))
-    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), weights.alias("w"))
+    whole = lambda v: F.when(F.abs(v * SCALE) < float(2**53), F.floor(v * SCALE).cast("double")).otherwise(v * SCALE)  # noqa: E731  # larger ones are whole
+    entries = F.filter(F.transform(x, lambda v, i: F.struct(i.alias("t"), whole(v).alias("w"))), lambda e: e["w"] != 0)
+    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), entries.alias("e"))
+    return rows.select("vec_id", F.col("e.t").alias("terms"), F.col("e.w").alias("weights"))
 
 
-def dense(lists: pa.ChunkedArray) -> np.ndarray:
-    """Rows of weights, missing terms as 0."""
-    rows = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    n = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(n), int(n.max(initial=0))), dtype=np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
-    return out
+class Rows:
+    """Sparse rows of one task."""
 
+    def __init__(self, ids: np.ndarray, n: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids, self.n, self.terms, self.weights = ids, n, terms, weights
+        self.row = np.repeat(np.arange(len(ids)), n)
+        self.most = np.zeros(len(ids))
+        np.maximum.at(self.most, self.row, np.abs(weights))
 
-def best_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, cell: pa.Table) -> Rows:
+        lists = [cell.column(c).combine_chunks() for c in ("terms", "weights")]
+        n = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return cls(cell.column("vec_id").to_numpy(), n, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        first = np.cumsum(self.n) - self.n
+        at = np.repeat(first[rows], self.n[rows]) + np.arange(int(self.n[rows].sum())) - np.repeat(np.cumsum(self.n[rows]) - self.n[rows], self.n[rows])
+        return Rows(self.ids[rows], self.n[rows], self.terms[at], self.weights[at])
+
+
+def exact(weights: np.ndarray) -> np.ndarray:
+    """Whole doubles as integers without a bound."""
+    return np.array([int(w) for w in weights.tolist()], dtype=object)
+
+
+def best_of_block(q: Rows, c: Rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of this block for each query, ties to smaller ids."""
-    order = np.argsort(c_ids, kind="stable")
-    c, c_ids, terms = c[order], c_ids[order], min(q.shape[1], c.shape[1])
-    most = float(np.abs(q[:, :terms]).max(initial=0)) * float(np.abs(c[:, :terms]).max(initial=0)) * max(1, terms)
-    kind, n = (np.int32 if most < 2**31 else np.int64), len(c_ids)
+    terms = int(max(q.terms.max(initial=-1), c.terms.max(initial=-1))) + 1
+    safe = (2.0**62 / max(1, terms)) ** 0.5  # products of such weights add up within 63 bits
+    large_q, large_c = q.most >= safe, c.most >= safe
+    if not large_q.any() and not large_c.any():
+        return _best(q, c, k, terms)
+    at = lambda x: np.flatnonzero(x)
+    parts = [_best(q.take(at(~large_q)), c.take(at(~large_c)), k, terms), _best(q.take(at(~large_q)), c.take(at(large_c)), k, terms), _best(q.take(at(large_q)), c, k, terms)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _best(q: Rows, c: Rows, k: int, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(q.ids) or not len(c.ids):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    c = c.take(np.argsort(c.ids, kind="stable"))
+    most, n = float(q.most.max()) * float(c.most.max()) * max(1, terms), len(c.ids)
+    kind = np.int32 if most < 2**31 else np.int64 if most < 2**63 else object
+    cast = exact if kind is object else lambda w: w.astype(kind)
+    order = np.argsort(c.terms, kind="stable")
+    cuts = np.searchsorted(c.terms[order], np.arange(terms + 1))
+    row, weight = c.row[order], cast(c.weights[order])
     postings = []
-    for t in range(terms):
-        at = np.flatnonzero(c[:, t])
-        full = 2 * len(at) > n  # a list of most of the block is kept whole, zeros included
-        postings.append((None, c[:, t].astype(kind)) if full else (at, c[at, t].astype(kind)))
-    out_q, out_c, out_s = [], [], []
-    group = max(1, min(64, (1 << 18) // max(1, n)))  # scores of a group of queries stay in cache
-    scratch = np.empty((group, n), dtype=kind)
-    for at in range(0, len(q), group):
-        part, ids = q[at : at + group].astype(kind), q_ids[at : at + group]
-        scores = np.zeros((len(part), n), dtype=kind)
-        for t, (where, weights) in enumerate(postings):
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if 2 * (b - a) > n and kind is not object:  # a list of most of the block is kept whole, zeros included
+            whole = np.zeros(n, dtype=kind)
+            whole[row[a:b]] = weight[a:b]
+            postings.append((None, whole))
+        else:
+            postings.append((row[a:b], weight[a:b]))
+    out: list[tuple] = []
+    group = max(1, min(64, CACHED // n))
+    scratch, first = np.empty((group, n), dtype=kind), np.append(0, np.cumsum(q.n))
+    for at in range(0, len(q.ids), group):
+        ids, own = q.ids[at : at + group], slice(first[at], first[min(at + group, len(q.ids))])
+        mine, term = np.unique(q.terms[own], return_inverse=True)
+        asked = np.zeros((len(ids), len(mine)), dtype=kind)
+        asked[q.row[own] - at, term] = cast(q.weights[own])
+        scores = np.zeros((len(ids), n), dtype=kind)
+        for t, weighted in zip(mine.tolist(), asked.T):
+            where, weights = postings[t]
             if where is None:
-                np.multiply.outer(part[:, t], weights, out=scratch[: len(part)])
-                scores += scratch[: len(part)]
+                np.multiply.outer(weighted, weights, out=scratch[: len(ids)])
+                scores += scratch[: len(ids)]
             elif len(where):
-                scores[:, where] += np.multiply.outer(part[:, t], weights)
-        for i in range(len(part)):
-            s = scores[i]
-            keep = np.flatnonzero(c_ids != ids[i]) if (c_ids[(p := min(np.searchsorted(c_ids, ids[i]), n - 1))] == ids[i]) else None
-            own, pos = (s, None) if keep is None else (s[keep], keep)
-            if len(own) > k:
-                least = np.partition(own, len(own) - k)[len(own) - k]
-                over, level = np.flatnonzero(own > least), np.flatnonzero(own == least)
+                scores[:, where] += np.multiply.outer(weighted, weights)
+        for i, s in zip(ids.tolist(), scores):
+            there = slice(*np.searchsorted(c.ids, [i, i + 1])) if i < 2**63 - 1 else slice(np.searchsorted(c.ids, i), n)
+            keep = np.delete(np.arange(n), there) if there.start < there.stop else None
+            own_s = s if keep is None else s[keep]
+            if len(own_s) > k:
+                least = np.sort(own_s)[len(own_s) - k] if kind is object else np.partition(own_s, len(own_s) - k)[len(own_s) - k]
+                over, level = np.flatnonzero(own_s > least), np.flatnonzero(own_s == least)
                 chosen = np.concatenate([over, level[: k - len(over)]])  # by id, so ties go to the smaller
             else:
-                chosen = np.arange(len(own))
-            rows = chosen if pos is None else pos[chosen]
-            out_q.append(np.full(len(rows), ids[i], dtype=np.int64))
-            out_c.append(c_ids[rows])
-            out_s.append(s[rows].astype(np.int64))
-    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    return cat(out_q), cat(out_c), cat(out_s)
+                chosen = np.arange(len(own_s))
+            rows = chosen if keep is None else keep[chosen]
+            out.append((np.full(len(rows), i, dtype=np.int64), c.ids[rows], np.array([_long(x) for x in s[rows].tolist()], dtype=np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _long(score: int) -> int:
+    if not -(2**63) <= score < 2**63:
+        raise OverflowError(f"inner product {score} is no long")
+    return score
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> DataFrame:
@@ -89,14 +136,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> Data
     rows = quantized(vectors)
     n, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     columns, bands = max(LEAST_BLOCKS, -(-n // block)), max(1, -(-asked // block))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("w").alias("w"))
-    cells = lambda df, mine, n_mine, other, n_other: df.withColumn(mine, F.pmod(F.xxhash64("vec_id"), F.lit(n_mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("terms", "weights")).alias("v")).select("vec_id", "v.terms", "v.weights")
+
+    def cells(df: DataFrame, mine: str, n_mine: int, other: str, n_other: int) -> DataFrame:
+        dealt = df.withColumn(mine, F.pmod(F.xxhash64("vec_id"), F.lit(n_mine)).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
     both = cells(rows, "c", columns, "q", bands).withColumn("asks", F.lit(False)).unionByName(cells(queries, "q", bands, "c", columns).withColumn("asks", F.lit(True)))
 
     def accumulate(cell: pa.Table) -> pa.Table:
-        asks = cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        w, ids = dense(cell.column("w")), cell.column("vec_id").to_numpy()
-        found = (np.zeros(0, dtype=np.int64),) * 3 if asks.all() or not asks.any() else best_of_block(w[asks], ids[asks], w[~asks], ids[~asks], k)
+        asks = cell.column("asks")
+        found = best_of_block(Rows.of(cell.filter(asks)), Rows.of(cell.filter(pa.compute.invert(asks))), k)
         return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     partial = both.groupBy("c", "q").applyInArrow(accumulate, _PARTIAL)
