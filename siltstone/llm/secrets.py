@@ -12,6 +12,7 @@ Null texts count as empty. Every row gives one row; ids are passed through, null
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -102,12 +103,21 @@ def stretches(run: str, count, max_ratio: float, min_chars: int) -> Iterator[tup
 
 def spans(text: str, count, max_ratio: float = 2.0, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int]]:
     base = base_spans(text)
+    # Base spans as unions in order: a new span overlaps one if the last union that starts before its end reaches into it.
+    starts, ends = [], []
+    for s, _, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     more = []
     for m in _run(min(min_chars, WHOLE_RUN)).finditer(text):
         run, at = m.group(), m.start()
         whole = len(run) >= WHOLE_RUN and is_random(run, count, max_ratio)
         for a, b in [(0, len(run))] if whole else stretches(run, count, max_ratio, min_chars):
-            if not any(s < at + b and at + a < e for s, _, e in base):
+            k = bisect.bisect_left(starts, at + b) - 1
+            if k < 0 or ends[k] <= at + a:
                 more.append((at + a, 3, at + b))
     return sorted(base + more) if more else base
 
