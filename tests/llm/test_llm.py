@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,6 +23,10 @@ def docs(spark, texts, langs=None, ids=None):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def plain_words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
 def words_of(rng, alphabet, n):
     return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(n))
 
@@ -234,13 +239,35 @@ def test_edits_equal_encoding_anew():
     bits = ["a", "the", " ", " ", "  ", "\n", "1", "'s", "!", "é", " word", "\t", "<|endoftext|>", "<|end", "oftext|>"]
     for _ in range(800):
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
-        tree = token_counts.Tree(t, tok, leaf=2)
+        tree = token_counts.Tree.of(t, tok, leaf=2)
         assert tree.total == tok.count(t) and tree.text == t
         for _ in range(4):
             a = rng.randint(0, len(t))
             b, new = min(len(t), a + rng.randint(0, 6)), "".join(rng.choice(bits) for _ in range(rng.randint(0, 4)))
             t = t[:a] + new + t[b:]
             assert tree.edit(a, b, new) == tok.count(t) and tree.text == t
+            assert tree.total == sum(tree.counts) and tree.length == len(t) and all(map(lambda p, c: tok.count(p) == c, tree.pieces, tree.counts))
+
+
+def test_kept_trees_take_tables_of_edits(spark):
+    rng, tok = random.Random(17), tokens.tokens(tokens.vocabulary_path())
+    texts = [words_of(rng, "abcdé", 600), *EDGES]
+    d = docs(spark, [*texts, "again"], ids=[*range(len(texts)), None])
+    trees = token_counts.built(d, leaf=8)
+    edits = [(0, k, rng.randrange(3000), 0, "") for k in range(40)]
+    edits = [(i, k, a, a + rng.randrange(200), rng.choice(["", " new words " * 50, "x"])) for i, k, a, _, _ in edits] + [(4, 1, 0, 99, "all new"), (1, 1, 0, 0, "from null"), (99, 1, 0, 0, "?"), (2, None, 0, 0, "?")]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, start int, end int, new string")
+    got = {r["doc_id"]: r for r in token_counts.edited(trees, table, leaf=8).collect()}
+    assert len(got) == len(texts) + 1
+    for i, t in enumerate(texts):
+        t = t or ""
+        for _, _, a, b, new in sorted(e for e in edits if e[0] == i and e[1] is not None):
+            a = min(a, len(t))
+            t = t[:a] + new + t[max(a, b) :]
+        assert got[i]["text"] == t and got[i]["n_tokens_after"] == tok.count(t) == sum(got[i]["tokens"]) and sum(got[i]["chars"]) == len(t) == got[i]["n_chars_after"], i
+    again = token_counts.edited(token_counts.edited(trees, table, leaf=8).select("doc_id", "text", "chars", "tokens"), table.limit(0), leaf=8)
+    assert {r["doc_id"]: (r["n_tokens"], r["n_reencoded"]) for r in again.collect()} == {i: (r["n_tokens_after"], 0) for i, r in got.items()}
+    assert token_counts.counted(d.limit(0)).count() == 0 and token_counts.edited(trees.limit(0), table).count() == 0
 
 
 def test_token_count_rows(spark):
@@ -286,6 +313,16 @@ def test_secrets_in_readable_runs_short_and_without_digits():
     assert secrets.spans("see qT7xK2vB9mZ4", count) == [] and secrets.spans("see qT7xK2vB9mZ4", count, min_chars=12) == [(4, 3, 16)]
 
 
+def test_many_spans_of_one_text_take_linear_time():
+    rng, tok = random.Random(2), tokens.tokens(tokens.vocabulary_path())
+    line = lambda: "password=%s %s " % ("s" * 12, "".join(rng.choice("ABCDEFGHijklmnop0123456789") for _ in range(28)))
+    text = "".join(line() for _ in range(8000))
+    began = time.time()
+    found = secrets.spans(text, tok.count)
+    assert sum(k == 0 for _, k, _ in found) == 8000 and sum(k == 3 for _, k, _ in found) > 7500 and time.time() - began < 3
+    assert not any(b > c for (_, _, b), (c, _, _) in zip(found, found[1:]))
+
+
 def test_secret_rows_and_redaction(spark):
     texts = ["my token: abcdefgh", "AKIA" + "A" * 16 + " AKIA" + "B" * 3, *EDGES]
     d = docs(spark, texts)
@@ -329,14 +366,33 @@ def test_topk_against_all_pairs(spark):
     assert topk.top_k(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_large_weights_is_exact(spark):
+    rng = random.Random(3)
+    sizes = [1.0, 2.0**20, 2.0**25, 2.0**26]
+    rows = [(i, [rng.choice([-1, 1]) * rng.choice(sizes) * rng.choice([0, 1, 1.5]) for _ in range(4)]) for i in range(60)]
+    rows += [(1000, [1.0, 0.0, 0.0, 0.0]), (1001, [2.0**25, 0.0, 0.0, 0.0]), (1002, [2.0**26, 0.0, 0.0, 0.0]), (1003, [-(2.0**21)] * 4), (1020, [2.0**21] * 4)]
+    rows = [(i, v) for i, v in rows if i % 20 or max(map(abs, v)) < 2.0**22]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {}
+    for i, q in rows:
+        if i % 20 == 0:
+            s = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(q, v)), j) for j, v in rows if j != i)[:20]
+            want |= {(i, k + 1): (j, -x) for k, (x, j) in enumerate(s)}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(d, F.col("vec_id") % 20 == 0, block=16).collect()}
+    assert got == want and (1002, 2**38) in [want[1000, k] for k in range(1, 21)]
+    huge = spark.createDataFrame([(0, [2.0**33] * 4), (1, [2.0**33] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no long"):
+        topk.top_k(huge, F.col("vec_id") == 0).collect()
+
+
 # 8. decontamination
 
 
 def plain_hits(text, items, width=13):
-    w = decontaminate.words(text)
+    w = plain_words(text)
     hit, found = set(), set()
     for i, t in items:
-        b = decontaminate.words(t)
+        b = plain_words(t)
         n = min(width, len(b))
         wins = {tuple(b[s : s + n]) for s in range(len(b) - n + 1)} if b else set()
         for s in range(len(w) - n + 1) if wins else ():
@@ -420,7 +476,7 @@ def test_proximity_with_repeated_words_against_plain(spark):
 def plain_classes(texts, similarity=0.8):
     sh = []
     for t in texts:
-        w = decontaminate.words(t)
+        w = plain_words(t)
         sh.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
     df = Counter(x for s in sh for x in s)
     n = len(texts)
@@ -460,6 +516,17 @@ def test_near_duplicates_against_all_pairs(spark, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs(spark, []).columns
 
 
+def test_frequent_shingles_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    common = [" ".join(f"c{k}w{j}" for j in range(5)) for k in range(4)]
+    texts = [" . ".join([words_of(rng, "abcdefghij", 30), *(c for k, c in enumerate(common) if i % (30 * (k + 1)) == 0)]) for i in range(900)]
+    d = docs(spark, texts)
+    one, many = (near_dedup.frequent(d.repartition(n), len(texts)) for n in (1, 200))
+    assert one == many and max(one.values()) == 30 and min(one.values()) >= 9
+    want = Counter(x for t in texts for x in {tuple(w[i : i + 5]) for w in [plain_words(t)] for i in range(len(w) - 4)})
+    assert sorted(one.values()) == sorted(n for n in want.values() if n >= 9)
+
+
 def test_near_duplicates_edges(spark):
     d = docs(spark, ["same text of more words", "same text of more words", "same text of more words", None, None, "x"], ids=[5, 5, 3, None, 9, None])
     got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(d).collect()), key=str)
