@@ -41,9 +41,12 @@ def gene_family(c: Column) -> Column:
 
 
 def header_map(c: Column) -> Column:
-    """key:value pairs of a header; a repeated key keeps its last value (mapKeyDedupPolicy=LAST_WIN)."""
+    """key:value pairs of a header; a repeated key keeps its last value."""
     pairs = F.regexp_extract_all(c, F.lit(r"\b([A-Za-z_]+):([^\s]+)"), F.lit(0))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), F.regexp_extract(p, r"^[A-Za-z_]+:(.*)$", 1).alias("value"))))
+    key = lambda p: F.substring_index(p, ":", 1)
+    keys = F.array_distinct(F.transform(pairs, key))
+    last = lambda k: F.element_at(F.filter(pairs, lambda p: key(p) == k), -1)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.regexp_extract(last(k), r"^[A-Za-z_]+:(.*)$", 1)))
 
 
 def labels_of(c: Column, pattern: str) -> Column:

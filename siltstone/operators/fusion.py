@@ -40,11 +40,15 @@ def evidence_union(routes: list[DataFrame], limit: int) -> DataFrame:
     return top(rows, "query_id", ["route_ord", "pos", "entity_id"], 2 * limit, "ord").withColumn("in_context", F.col("ord") <= limit)
 
 
-def coverage(evidence: DataFrame, modes: list[str]) -> DataFrame:
-    """Share of the active routes with evidence, to 3 places; 1 without active routes."""
+def coverage(evidence: DataFrame, modes: list[str], queries: DataFrame | None = None) -> DataFrame:
+    """Share of the active routes with evidence, to 3 places; 1 without active routes. queries: (query_id), all that were
+    asked, so that those without evidence get 0."""
     active = [m for m in modes if m in ROUTES]
     hit = F.count_distinct(F.when(F.col("route").isin(active), F.col("route")))
-    return evidence.groupBy("query_id").agg(F.round(hit / len(active), 3).alias("coverage") if active else F.lit(1.0).alias("coverage"))
+    found = evidence.groupBy("query_id").agg(F.round(hit / len(active), 3).alias("coverage") if active else F.lit(1.0).alias("coverage"))
+    if queries is None:
+        return found
+    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("coverage", F.lit(0.0 if active else 1.0)).alias("coverage"))
 
 
 def citations(evidence: DataFrame, limit: int, chars: int) -> DataFrame:
@@ -82,8 +86,3 @@ def routes_of(sequence_type: Column) -> Column:
 def over_fetch(target: str, limit: int) -> int:
     """Rows to ask for before windows are merged by parent."""
     return min(5000, max(1000, 100 * limit)) if target.endswith("_window") else limit
-
-
-def selected(grid: DataFrame, by: list[str], objective: list[str]) -> DataFrame:
-    """The grid's row with the lexicographically largest objective."""
-    return grid.agg(F.max_by(F.struct(*by), F.struct(*objective)).alias("best")).select("best.*")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.sequence import kmers
 from siltstone.operators.text_search import top
 
 
 def bucket(c: Column, buckets: int = 100) -> Column:
-    """The first 8 hex digits of the id's SHA-256, modulo `buckets`."""
-    return F.pmod(F.conv(F.substring(F.sha2(c.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    """The first 8 hex digits of the id's SHA-1, modulo `buckets`."""
+    return F.pmod(F.conv(F.substring(F.sha1(c.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
 
 
 def hash_split(c: Column) -> Column:
@@ -67,21 +69,47 @@ def ground_truth(pairs: DataFrame, held: DataFrame, item: str, label: str) -> Da
     return pairs.select(item, label).distinct().join(held, item, "left_semi").join(stay, label)
 
 
-def containment(queries: DataFrame, texts: DataFrame, shingle: int = 24) -> DataFrame:
-    """(query_id, id): texts that hold a whole query text. The query's first characters, at every place where a text has
-    them, are an equi-join; only such pairs are compared whole. Queries shorter than the shingle meet all texts."""
-    long = queries.where(F.length("query") >= shingle).withColumn("g", F.substring("query", 1, shingle))
-    heads = long.select("g").distinct()
-    usable = texts.where(F.length("text") >= shingle)
-    if heads.count() <= 10_000:  # then one array that is met in place; else every place of every text is a row
-        known = heads.agg(F.collect_list("g").alias("heads"))
-        grams = usable.crossJoin(F.broadcast(known)).select("id", F.explode(F.array_intersect(kmers(F.col("text"), shingle), F.col("heads"))).alias("g"))
-    else:
-        grams = usable.select("id", F.explode(F.array_distinct(kmers(F.col("text"), shingle))).alias("g"))
-    pairs = grams.join(heads, "g", "left_semi").join(long, "g").select("query_id", "id", "query").distinct()
-    found = pairs.join(texts, "id").where(F.contains("text", "query")).select("query_id", "id")
-    short = queries.where((F.length("query") < shingle) & (F.length("query") > 0))
-    return found.unionByName(short.join(texts, F.contains("text", "query")).select("query_id", "id")) if short.limit(1).count() else found
+#: Characters of the queries in one automaton, which takes some 100 bytes for each.
+AUTOMATON_CHARS = 2_000_000
+
+
+def _patterns(queries: DataFrame, most: int = AUTOMATON_CHARS) -> Iterator[dict[str, list]]:
+    """Different query texts with their ids, in blocks of bounded size. Empty and NULL texts are left out."""
+    held, n = {}, 0
+    for r in queries.where(F.length("query") > 0).select("query_id", "query").toLocalIterator():
+        if held and n + len(r["query"]) > most:
+            yield held
+            held, n = {}, 0
+        held.setdefault(r["query"], []).append(r["query_id"])
+        n += len(r["query"])
+    if held:
+        yield held
+
+
+def containment(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, id): texts that hold a whole query text. One pass over the texts with an automaton of all queries, built in
+    each worker; queries beyond AUTOMATON_CHARS take further passes. Nothing is shuffled."""
+    out, schema = None, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {texts.schema['id'].dataType.simpleString()}"
+    for block in _patterns(queries):
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for pattern in shared.value:
+                automaton.add_word(pattern, pattern)
+            automaton.make_automaton()
+            for batch in batches:
+                ids, found = batch.column(0), [({p for _, p in automaton.iter(t)} if t else ()) for t in batch.column(1).to_pylist()]
+                rows = [(q, i) for i, patterns in enumerate(found) for p in sorted(patterns) for q in shared.value[p]]
+                if rows:
+                    q, i = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(i))], ["query_id", "id"])
+
+        part = texts.select("id", "text").mapInArrow(find, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else texts.sparkSession.createDataFrame([], schema)
 
 
 def leakage(index: DataFrame, held: DataFrame, item: str, text: str) -> DataFrame:
@@ -107,11 +135,14 @@ def copies_held_out(df: DataFrame, id_col: str, group: str, least: int, per_grou
 
 
 def cluster_held_out(membership: DataFrame, labels: DataFrame, target: int, seed: str) -> DataFrame:
-    """(cluster) whole clusters in hash order whose labels all occur outside them too."""
-    rows = membership.join(labels, "node")
-    spread = rows.groupBy("label").agg(F.count_distinct("cluster").alias("clusters"))
-    good = rows.join(spread, "label").groupBy("cluster").agg(F.min("clusters").alias("least")).where("least > 1")
-    return good.withColumn("_h", order_key(F.col("cluster"), seed)).orderBy("_h", "cluster").limit(target).select("cluster")
+    """(cluster) whole clusters in hash order, such that no label loses all its clusters: a cluster is taken if each of its
+    labels has a further cluster, and it comes first in hash order for all of them."""
+    rows = membership.join(labels, "node").select("cluster", "label").distinct().withColumn("_h", order_key(F.col("cluster"), seed))
+    order = Window.partitionBy("label").orderBy("_h", "cluster")
+    spread = rows.groupBy("label").agg(F.count(F.lit(1)).alias("clusters"))
+    first = rows.withColumn("_n", F.row_number().over(order)).join(spread, "label")
+    good = first.groupBy("cluster", "_h").agg(F.max("_n").alias("worst"), F.min("clusters").alias("least")).where("worst = 1 AND least > 1")
+    return good.orderBy("_h", "cluster").limit(target).select("cluster")
 
 
 def hard_negatives(df: DataFrame, id_col: str, group: str, bin_col: str, grams_of: Column, per: int = 1) -> DataFrame:

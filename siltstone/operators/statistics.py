@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,27 +43,45 @@ def set_metrics(predicted: Column, expected: Column) -> list[Column]:
     return [F.round(zero((both, F.size(p))), 6).alias("precision"), F.round(zero((both, F.size(e))), 6).alias("recall"), F.round(zero((2.0 * both, F.size(p) + F.size(e))), 6).alias("f1"), (both > 0).alias("hit")]
 
 
-def log_factorials(spark, n: int) -> DataFrame:
-    """(k, lf): ln k! for 0 to n, a running sum of logarithms."""
-    w = Window.orderBy("k")
-    return spark.range(n + 1).select(F.col("id").cast("int").alias("k")).withColumn("lf", F.sum(F.when(F.col("k") > 0, F.log("k")).otherwise(0.0)).over(w))
+_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n!, by a table of the first 256 and by Stirling's series beyond."""
+    z = np.maximum(n, 255) + 1.0
+    series = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(n < 256, _SMALL[np.clip(n, 0, 255)], series)
+
+
+def hypergeometric_tail(population: np.ndarray, successes: np.ndarray, draws: np.ndarray, observed: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """P(X >= observed): sums of exponentials of log binomials, some `most` terms at a time. A row's sum ends 12 standard
+    deviations and 50 terms beyond its mean or its observation, where what is left is under 1e-30 of it."""
+    N, K, m, x = (np.asarray(a, dtype=np.int64) for a in (population, successes, draws, observed))
+    mean = m * K / np.maximum(N, 1)
+    sd = np.sqrt(np.maximum(mean * (1 - K / np.maximum(N, 1)), 0.0))
+    low = np.maximum(np.maximum(x, m - (N - K)), 0)
+    high = np.minimum(np.minimum(K, m), (np.maximum(low, mean) + 12 * sd + 50).astype(np.int64))
+    size, out = np.maximum(high - low + 1, 0), np.zeros(len(N))
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(N):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        part = slice(at, end)
+        row = np.repeat(np.arange(at, end), size[part])
+        k = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        lf, Nr, Kr, mr = log_factorial, N[row], K[row], m[row]
+        log_p = lf(Kr) - lf(k) - lf(Kr - k) + lf(Nr - Kr) - lf(mr - k) - lf(Nr - Kr - mr + k) - lf(Nr) + lf(mr) + lf(Nr - mr)
+        out[part] = np.bincount(row - at, np.exp(log_p), end - at)
+        at = end
+    return np.where(x <= 0, 1.0, np.minimum(1.0, out))
 
 
 def hypergeometric(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows (key, population, successes, draws, observed) with p = P(X >= observed); sums of exponentials of log binomials."""
-    most = rows.agg(F.max("population")).first()[0] or 0
-    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
-    shared = rows.sparkSession.sparkContext.broadcast(lf)  # 8 bytes a unit of population
+    """rows (key, population, successes, draws, observed) with p = P(X >= observed)."""
 
     @F.pandas_udf("double")
     def tail(n: pd.Series, s: pd.Series, d: pd.Series, o: pd.Series) -> pd.Series:
-        f = shared.value
-        comb = lambda a, b: f[a] - f[b] - f[a - b]
-        out = []
-        for N, K, m, x in zip(n, s, d, o):
-            k = np.arange(max(x, m - (N - K), 0), min(K, m) + 1)
-            out.append(min(1.0, float(np.exp(comb(K, k) + comb(N - K, m - k) - comb(N, m)).sum())) if len(k) else 0.0)
-        return pd.Series([1.0 if x <= 0 else v for v, x in zip(out, o)])
+        return pd.Series(hypergeometric_tail(n.to_numpy(), s.to_numpy(), d.to_numpy(), o.to_numpy()))
 
     return rows.withColumn("p", tail("population", "successes", "draws", "observed"))
 
@@ -104,22 +125,32 @@ def weighted_kappa(rows: DataFrame, a: str, b: str, low: int, high: int, by: lis
 
 
 def bootstrap(rows: DataFrame, by: str, value: str, samples: int = 2000, seed: int = 1) -> DataFrame:
-    """by, n, mean, low, high: percentile interval of the mean (or of a paired difference) per group, seeded by the group.
-
-    Values of a group are resampled by multinomial counts of its different values, so a group's size bounds nothing but the
-    number of different values that one task holds."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(value)
-        x, n = pdf[value].to_numpy(dtype=float), pdf["n"].to_numpy()
-        total, key = int(n.sum()), str(pdf[by].iloc[0])
-        rng = np.random.default_rng([seed, *key.encode()])
-        means = rng.multinomial(total, n / total, size=samples) @ x / total
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [total], "mean": [float((x * n).sum() / total)], "low": [float(low)], "high": [float(high)]})
-
-    return counts.groupBy(by).applyInPandas(resample, f"{by} {dict(rows.dtypes)[by]}, n long, mean double, low double, high double")
+    """by, n, mean, low, high: percentile interval of the mean (or of a paired difference) per group.
+
+    A Poisson bootstrap: in each sample a value that occurs n times weighs a Poisson(n) draw, seeded by group and value, so
+    that samples add up over partitions: a task holds one pair of sums for each group and sample, however many the values."""
+    kind = dict(rows.dtypes)[by]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for g, x, n in zip(b[by], b["x"], b["n"]):
+                key = zlib.crc32(f"{g}|{x!r}".encode())
+                w = np.random.default_rng([seed, key]).poisson(n, samples)
+                s = held.setdefault(g, np.zeros((2, samples)))
+                s[0] += w * x
+                s[1] += w
+        yield pd.DataFrame({by: pd.Series(list(held), dtype=b[by].dtype if held else None), "sums": [s.tobytes() for s in held.values()]})
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, weight = np.sum([np.frombuffer(s).reshape(2, samples) for s in sorted(pdf["sums"])], axis=0)
+        low, high = np.percentile(total / np.maximum(weight, 1), [2.5, 97.5])
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [float(low)], "high": [float(high)]})
+
+    ranges = counts.mapInPandas(sums, f"{by} {kind}, sums binary").groupBy(by).applyInPandas(interval, f"{by} {kind}, low double, high double")
+    means = counts.groupBy(by).agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    return means.join(ranges, by).select(by, "n", "mean", "low", "high")
 
 
 def stratified_permutation(rows: DataFrame, id_col: str, length: str, label: str, bins: int, replicates: int, seed: str = "1") -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import sequence as seq
 from siltstone.functions import text as tx
-from siltstone.operators import alignment, corpus, splits
-from siltstone.operators.text_search import top
+from siltstone.operators import alignment, corpus, splits, text_search
 from siltstone.plans.catalog import query
 
 _SEQ = "regexp_replace(upper(replace({}, 'ß', 'SS')), '[^\\p{{L}}*]', '', 'g')"
@@ -90,15 +89,12 @@ def stable_ids(t):
  s AS (SELECT item_id, doc_id, round(nb / (nq + nd - nb), 6) AS score FROM j JOIN nq USING (item_id) JOIN nd USING (doc_id))
 SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
 def kmer_jaccard_topk(t):
-    """Documents by the Jaccard similarity of different 8-mers, by an inverted join on the queries' k-mers."""
-    grams = lambda df, i: df.select(i, F.array_distinct(seq.kmers(seq.clean(F.col("text")), 8)).alias("g")).select(i, F.size("g").alias(f"n_{i}"), F.explode("g").alias("g"))
-    q, d = grams(t.benchmark, "item_id"), grams(t.documents, "doc_id")
-    both = q.join(d.join(q.select("g").distinct(), "g", "left_semi"), "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.first("n_item_id").alias("a"), F.first("n_doc_id").alias("b"))
-    scored = both.select("item_id", "doc_id", F.round(F.col("both") / (F.col("a") + F.col("b") - F.col("both")), 6).alias("score"))
-    return top(scored, "item_id", [F.desc("score"), "doc_id"], 5)
+    """Documents by the Jaccard similarity of different 8-mers."""
+    text = seq.clean(F.col("text"))
+    return text_search.kmer_jaccard(t.documents, "doc_id", text, t.benchmark, "item_id", text, 8, 5)
 
 
-@query("""SELECT doc_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS b FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, CAST(('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS b FROM documents)""")
 def hash_split_80_10_10(t):
     return t.documents.select("doc_id", splits.hash_split(F.col("doc_id")).alias("split"))
 
@@ -119,7 +115,7 @@ def leakage_containment(t):
     return splits.containment(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 90 THEN 0 ELSE 1 END AS held, sha256(text) AS h FROM documents)
+@query("""WITH s AS (SELECT doc_id, CASE WHEN CAST(('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 90 THEN 0 ELSE 1 END AS held, sha256(text) AS h FROM documents)
 SELECT 0::BIGINT AS shared_ids, count(*) AS shared_texts, CASE WHEN count(*) = 0 THEN 'GO' ELSE 'STOP' END AS verdict FROM s WHERE held = 0 AND h IN (SELECT h FROM s WHERE held = 1)""")
 def leakage_audit(t):
     b = splits.bucket(F.col("doc_id")) < 90
