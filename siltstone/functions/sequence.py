@@ -37,10 +37,12 @@ def _inner(length: Column, size: int, stride: int) -> Column:
     return F.ceil((length - size) / stride).cast("int")
 
 
-def window_starts(length: Column, size: int, stride: int) -> Column:
-    """Starts at each stride while the window ends inside, then the last window, anchored at the end; whole if shorter."""
-    inner = F.sequence(F.lit(0), (F.greatest(_inner(length, size, stride), F.lit(1)) - 1) * stride, F.lit(stride))
-    return F.when(length <= 0, F.array().cast("array<int>")).when(length <= size, F.array(F.lit(0))).otherwise(F.concat(inner, F.array(length - size)))
+def eval_windows(length: Column, size: int, stride: int, least: int = 24) -> Column:
+    """Array of (start, end): a window at each stride while it fits inside, and one at the tail; none shorter than `least`."""
+    last = F.greatest(length - size, F.lit(0))
+    starts = F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))))
+    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, length).alias("end")))
+    return F.filter(spans, lambda w: w["end"] - w["start"] >= min(least, size))
 
 
 def windows(c: Column, size: int, stride: int) -> Column:

@@ -88,3 +88,24 @@ def flattened(metadata: Column) -> Column:
 def json_field(c: Column, path: str) -> Column:
     """A field of a JSON text; NULL where the text is no JSON."""
     return F.get_json_object(c, path)
+
+
+def unflattened(c: Column) -> Column:
+    """The map of a flattened JSON text; empty where it is none."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def optional_float(c: Column) -> Column:
+    """NULL for what is no number."""
+    return c.try_cast("double")
+
+
+def optional_text(c: Column) -> Column:
+    """NULL for NULL and empty texts."""
+    return F.nullif(c.cast("string"), F.lit(""))
+
+
+def as_list(c: Column) -> Column:
+    """A scalar as an array of one, NULL and empty as an empty array."""
+    t = optional_text(c)
+    return F.when(t.isNull(), F.array().cast("array<string>")).otherwise(F.array(t))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import missing, split_list
 from siltstone.operators.fusion import first_wins
 from siltstone.operators.text_search import top
+from siltstone.sources.shared import stored
 
 NODE = ["entity_id", "entity_type", "name", "source"]
 
@@ -107,25 +106,16 @@ def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(m)).agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), F.lit(2.0))).alias("modularity"), F.count(F.lit(1)).alias("communities"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, so that a loop's lineage stays short and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/siltstone-graphs"
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component): the smallest node reached from each node. Minima of neighbours, then of the minima's own."""
-    both = _stored(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b"))))
+    both = stored(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b"))))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))
     while True:
-        labels = _stored(labels)
+        labels = stored(labels)
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("c"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        after = _stored(lower.join(jump, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component"), "was"))
+        after = stored(lower.join(jump, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component"), "was"))
         labels = after.select("node", "component")
         if not after.where("component < was").limit(1).count():
             return labels
@@ -143,16 +133,35 @@ def mapped_clusters(ids: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def label_propagation(pairs: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community): each round every node takes the most frequent label around it, the smallest of equals."""
-    both = _stored(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b"))))
+    """(node, community): each round every node takes the most frequent label around it, the smallest of equals; ids of any
+    type. A round is two shuffles of the links; labels are stored between rounds."""
+    both = stored(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b"))))
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("community")).alias("c"))).alias("m"))
-        labels = _stored(best.select("node", (-F.col("m.c")).alias("community")))
+        labels = stored(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select("node", F.col("m.community").alias("community")))
     return labels
 
 
+def cluster_stats(ids: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: nodes, clusters, singletons, and the largest cluster's size. ids: (node); clusters: (node, cluster)."""
+    sizes = ids.join(clusters, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("n") == 1, 1)).alias("singletons"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
+def kmer_graph(nodes: DataFrame, size: int, neighbours: int) -> DataFrame:
+    """(u, v, weight): the control graph of k-mer Jaccard neighbours, each node's nearest by score and then the larger id, one row
+    a pair. nodes: (node, sequence). Nodes are ranked in blocks where they are read."""
+    from siltstone.operators import text_search
+
+    asked = nodes.select(F.col("node").alias("query"), F.col("sequence").alias("q"))
+    # The best is taken by id too, smaller first: the larger id is wanted here, so ids are turned around.
+    flipped = nodes.select((-F.col("node")).alias("other"), F.col("sequence").alias("s"))
+    near = text_search.kmer_jaccard(flipped, "other", F.col("s"), asked, "query", F.col("q"), size, neighbours + 1)
+    near = near.where(F.col("query") != -F.col("other")).select("query", (-F.col("other")).alias("other"), "score", "rank")
+    return undirected(top(near.drop("rank"), "query", [F.desc("score"), F.desc("other")], neighbours), "query", "other", "score")
+
+
 def greedy_communities(pairs: DataFrame, group: str) -> DataFrame:
     """(group, node, community) by greedy modularity, each graph of the column `group` in one task: for graphs of some
     thousand nodes. Communities are merged by the largest gain until none is left; ties by the smaller pair."""
@@ -225,12 +234,38 @@ def display_edges(pairs: DataFrame, per_node: int, budget: int) -> DataFrame:
     return ranked.orderBy("tier", F.desc("weight"), "u", "v").limit(budget).select("u", "v", "weight", "tier")
 
 
-def merged(base_nodes: DataFrame, base_edges: DataFrame, overlay_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the base graph; edges of both, the base's first, among those nodes."""
-    keys = ["source_entity_id", "relation_type", "target_entity_id", "source"]
-    ids = base_nodes.select("entity_id")
+def merged(base: tuple[DataFrame, DataFrame], overlay: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of two graphs, the base's first: each node and each edge key once, edges only among the nodes."""
+    nodes = upserted([base[0], overlay[0].select(*base[0].columns)], ["entity_id"])
+    ids = nodes.select("entity_id")
     inside = lambda e: e.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
-    return base_nodes, upserted([inside(base_edges), inside(overlay_edges)], keys)
+    edges = upserted([inside(base[1]), inside(overlay[1].select(*base[1].columns))], ["source_entity_id", "relation_type", "target_entity_id", "source"])
+    return nodes.select(*base[0].columns), edges.select(*base[1].columns)
+
+
+def searched(queries: DataFrame, evidence: DataFrame, aliases: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int, per_symbol: int = 2) -> DataFrame:
+    """query_id, edge columns, rank: edges around each query's seeds, `limit` a query.
+
+    Seeds in tiers: entities of the first `limit` evidence rows (query_id, pos, entity_id, symbol, title), up to `per_symbol`
+    nodes that each one's symbol names, `limit` nodes that the query names, `per_symbol` that each title names. Seeds are gone
+    through in this order, each one's edges by relation and ends; an edge comes once a query."""
+    e = evidence.where(F.col("pos") <= limit)
+    found = lambda column: _named(e, column, aliases, nodes, per_symbol)
+    asked = resolved(queries, aliases, nodes, limit).select("query_id", F.col("entity_id").alias("seed_id"), F.col("rank").cast("long").alias("pos"))
+    own = e.where("entity_id is not null").select("query_id", F.col("entity_id").alias("seed_id"), F.col("pos").cast("long").alias("pos"))
+    seeds = seeded(own, found("symbol"), asked, found("title"))
+    around = expanded(seeds.select("seed_id").distinct(), edges, nodes, limit)
+    rows = seeds.join(around.withColumnRenamed("rank", "edge_rank"), "seed_id")
+    key = ["query_id", "source_entity_id", "relation_type", "target_entity_id", "source"]
+    once = first_wins(rows, key, ["tier", "pos", "seed_id", "edge_rank"])
+    return top(once, "query_id", ["tier", "pos", "seed_id", "edge_rank"], limit)
+
+
+def _named(evidence: DataFrame, column: str, aliases: DataFrame, nodes: DataFrame, each: int) -> DataFrame:
+    """Seeds that the values of an evidence column name, in the order of the rows; different values are resolved once."""
+    values = evidence.where(F.col(column).isNotNull()).select(F.col(column).alias("query")).distinct().withColumn("query_id", F.col("query"))
+    hits = resolved(values, aliases, nodes, each).select(F.col("query_id").alias(column), F.col("entity_id").alias("seed_id"), "rank")
+    return evidence.join(hits, column).select("query_id", "seed_id", (F.col("pos") * (each + 1) + F.col("rank")).cast("long").alias("pos"))
 
 
 def parent_collapse(pairs: DataFrame, parents: DataFrame) -> DataFrame:

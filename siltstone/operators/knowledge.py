@@ -21,7 +21,18 @@ def scan(kb: DataFrame, kinds: list[str] | None = None, limit: int = 0) -> DataF
 
 
 def lookup(kb: DataFrame, kind: str, source_id: str) -> DataFrame:
-    return kb.where((F.col("kind") == kind) & (F.col("source_id") == source_id)).limit(1)
+    """The row with the smallest id."""
+    return kb.where((F.col("kind") == kind) & (F.col("source_id") == source_id)).orderBy("id").limit(1)
+
+
+def terms_over_xrefs(nodes: DataFrame, edges: DataFrame, relation: str) -> DataFrame:
+    """(node, term): terms that a node, or a node that shares a cross reference with it, has by `relation`.
+
+    nodes: (entity_id); edges: the graph's, cross references being those of relations has_...; hubs are exploded once."""
+    x = edges.where(F.col("relation_type").startswith("has_")).select(F.col("source_entity_id").alias("node"), F.col("target_entity_id").alias("hub")).distinct()
+    has = edges.where(F.col("relation_type") == relation).select(F.col("source_entity_id").alias("node"), F.col("target_entity_id").alias("term")).distinct()
+    over = x.join(x.join(has, "node").select("hub", "term").distinct(), "hub").select("node", "term")
+    return has.unionByName(over).distinct().join(nodes.select(F.col("entity_id").alias("node")), "node", "left_semi")
 
 
 def node_id(kind: str, *parts: Column) -> Column:

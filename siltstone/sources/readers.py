@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.sources.shared import file_order
+
 GAF = "db object_id symbol qualifier go_id reference evidence_code with_from aspect name synonyms object_type taxon date assigned_by extension product_form".split()
 TASK = T.StructType().add("id", "string").add("query", "string").add("category", "string").add("query_type", "string").add("vector_target", "string").add("notes", "string").add("expected", T.MapType(T.StringType(), T.StringType()))
 
@@ -64,10 +66,11 @@ def wanted(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), col, "left_semi")
 
 
-def gaf(spark: SparkSession, path: str) -> DataFrame:
-    """Annotation lines of 15 columns or more, comments left out."""
+def gaf(spark: SparkSession, path: str, at: bool = False) -> DataFrame:
+    """Annotation lines of 15 columns or more, comments left out; with `at` their place in file order (_at)."""
     schema = ", ".join(f"{c} string" for c in GAF)
     rows = spark.read.csv(path, sep="\t", comment="!", schema=schema, quote="")
+    rows = rows.withColumn("_at", file_order()) if at else rows
     return rows.where(F.col("assigned_by").isNotNull()).withColumn("negated", F.coalesce(F.array_contains(F.split("qualifier", r"\|"), "NOT"), F.lit(False))).withColumn("pmids", F.regexp_extract_all("reference", F.lit(r"PMID:(\d+)"), F.lit(1)))
 
 
@@ -82,25 +85,66 @@ def tsv(spark: SparkSession, path: str, names: list[str], comment: str = "#") ->
     return spark.read.csv(path, sep="\t", comment=comment, schema=", ".join(f"{n} string" for n in names), quote="")
 
 
+def reactome(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(source_id, pathway_id, url, name, evidence, organism) of wanted ids; of repeated pairs the last line in file order."""
+    names = ["source_id", "pathway_id", "url", "name", "evidence", "organism"]
+    rows = tsv(spark, path, names).withColumn("_at", file_order()).where(F.col("organism").isNotNull())
+    return _last(wanted(rows, ids, "source_id"), names[:2], names[2:])
+
+
+def _last(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_at").alias("_r")).select(*keys, "_r.*")
+
+
+def goa(spark: SparkSession, path: str, ids: DataFrame, terms: DataFrame) -> DataFrame:
+    """(object_id, go_id, name, namespace, evidence_code, qualifier, aspect): annotations of wanted proteins, the last of a pair,
+    with the term's name, or its id where the ontology lacks it. terms: as obo()."""
+    rows = gaf(spark, path, at=True)
+    last = _last(wanted(rows, ids, "object_id"), ["object_id", "go_id"], ["evidence_code", "qualifier", "aspect"])
+    return _termed(last, terms)
+
+
+def _termed(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    t = terms.select(F.col("term_id").alias("go_id"), "name", "namespace")
+    return rows.join(t, "go_id", "left").withColumn("name", F.coalesce("name", "go_id"))
+
+
+def gene_to_go(spark: SparkSession, path: str, genes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(gene_id, go_id, name, namespace, evidence_code, qualifier, category) of wanted genes, the last line of a pair."""
+    names = ["tax_id", "gene_id", "go_id", "evidence_code", "qualifier", "go_term", "pubmed", "category"]
+    rows = tsv(spark, path, names).withColumn("_at", file_order()).where(F.col("category").isNotNull())
+    return _termed(_last(wanted(rows, genes, "gene_id"), ["gene_id", "go_id"], ["evidence_code", "qualifier", "category"]), terms)
+
+
 def gene_to_pubmed(spark: SparkSession, path: str, genes: DataFrame, most: int) -> DataFrame:
     """(gene_id, pmid): the first `most` of each gene in file order."""
-    rows = tsv(spark, path, ["tax_id", "gene_id", "pmid"]).withColumn("_at", F.monotonically_increasing_id())
+    rows = tsv(spark, path, ["tax_id", "gene_id", "pmid"]).withColumn("_at", file_order())
     w = Window.partitionBy("gene_id").orderBy("_at")
     return wanted(rows, genes, "gene_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("gene_id", "pmid")
 
 
-def pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(pmid, title, abstract, journal, year) of PubmedArticle elements."""
+def pubmed_xml(spark: SparkSession, path: str | list[str], pmids: DataFrame | None = None, file_limit: int = 0) -> DataFrame:
+    """(pmid, title, abstract, journal, year) of PubmedArticle elements: of wanted pmids only, of the first files by name only."""
     schema = "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<string>>, Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string>>>>>"
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path)
+    paths = path
+    if file_limit:
+        files = spark.read.format("binaryFile").load(path).select("path").distinct().orderBy("path").limit(file_limit)
+        paths = [r["path"] for r in files.collect()]
+    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(",".join(paths) if isinstance(paths, list) else paths)
     a = "MedlineCitation.Article"
-    return rows.select(F.col("MedlineCitation.PMID").alias("pmid"), F.col(f"{a}.ArticleTitle").alias("title"), F.array_join(f"{a}.Abstract.AbstractText", " ").alias("abstract"), F.col(f"{a}.Journal.Title").alias("journal"), F.col(f"{a}.Journal.JournalIssue.PubDate.Year").alias("year"))
+    out = rows.select(F.col("MedlineCitation.PMID").alias("pmid"), F.col(f"{a}.ArticleTitle").alias("title"), F.array_join(f"{a}.Abstract.AbstractText", " ").alias("abstract"), F.col(f"{a}.Journal.Title").alias("journal"), F.col(f"{a}.Journal.JournalIssue.PubDate.Year").alias("year"))
+    return out if pmids is None else wanted(out, pmids, "pmid")
 
 
 def pubmed_cache(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; the last row of a pmid wins."""
-    rows = spark.read.schema("pmid string, title string, abstract string, journal string, year string").json(path).withColumn("_at", F.monotonically_increasing_id())
-    return rows.groupBy("pmid").agg(F.max_by(F.struct("title", "abstract", "journal", "year"), "_at").alias("r")).select("pmid", "r.*")
+    """JSON lines; the last row of a pmid in file order wins."""
+    rows = spark.read.schema("pmid string, title string, abstract string, journal string, year string").json(path).withColumn("_at", file_order())
+    return _last(rows, ["pmid"], ["title", "abstract", "journal", "year"])
+
+
+def graph(spark: SparkSession, folder: str, form: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that sinks.sidecars() wrote."""
+    return spark.read.format(form).load(f"{folder}/nodes"), spark.read.format(form).load(f"{folder}/edges")
 
 
 def tasks(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import exists, numbered, stored
+
 SCHEMAS = {
     "entities": "entity_id string, entity_type string, canonical_id string, name string, source string, description string, organism string, metadata map<string,string>",
     "aliases": "entity_id string, alias string, alias_type string, source string",
@@ -40,8 +42,10 @@ def added(store: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upserted(store: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows replace those of the same id."""
-    return store.join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows.select(*store.columns))
+    """Rows replace those of the same id; of new rows that share an id one stays, the largest."""
+    rest = [c for c in store.columns if c != "record_id"]
+    new = rows.groupBy("record_id").agg(F.max(F.struct(*rest)).alias("_r")).select("record_id", "_r.*")
+    return store.join(new.select("record_id"), "record_id", "left_anti").unionByName(new.select(*store.columns))
 
 
 def updated(store: DataFrame, rows: DataFrame) -> DataFrame:
@@ -74,13 +78,40 @@ def replaced(df: DataFrame, folder: str) -> None:
 def appended(df: DataFrame, folder: str, key: str) -> None:
     """Rows whose key isn't there yet; a run that was broken off is continued by running it again."""
     spark = df.sparkSession
-    try:
-        there = spark.read.parquet(folder).select(key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
-    (df if there is None else df.join(there, key, "left_anti")).write.mode("append").parquet(folder)
+    done = exists(spark, folder) and exists(spark, f"{folder}/_SUCCESS")
+    rows = df.join(spark.read.schema(df.schema).parquet(folder).select(key), key, "left_anti") if done else df
+    rows.write.mode("append").parquet(folder)
+
+
+def written_target(vectors: DataFrame, folder: str, target: str, backend: str) -> DataFrame:
+    """A target's matrix (row_idx, embedding), id map (row_idx and all else) and one manifest row (target, records, dims,
+    backend); returns the manifest. vectors: (record_id, embedding, ...); rows are numbered by record_id."""
+    rows = stored(numbered(vectors, ["record_id"]), "target")
+    rows.select("row_idx", "embedding").write.mode("overwrite").parquet(f"{folder}/{target}/matrix")
+    rows.drop("embedding").write.mode("overwrite").parquet(f"{folder}/{target}/id_map")
+    manifest = rows.agg(F.lit(target).alias("target"), F.count(F.lit(1)).alias("records"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dims"), F.lit(backend).alias("backend"))
+    manifest.write.mode("overwrite").parquet(f"{folder}/{target}/manifest")
+    return manifest
+
+
+def read_target(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """The records of a target that written_target() wrote, with their vectors."""
+    return imported(spark.read.parquet(f"{folder}/{target}/matrix"), spark.read.parquet(f"{folder}/{target}/id_map"))
+
+
+def record_batch(store: DataFrame, offset: int, size: int) -> DataFrame:
+    """The rows of a store from a place on, by row_idx; the filter reaches the scan."""
+    return store.where((F.col("row_idx") >= offset) & (F.col("row_idx") < offset + size))
+
+
+def sample_queries(proteins: DataFrame, annotations: DataFrame, terms: DataFrame, limit: int = 50, size: int = 160) -> DataFrame:
+    """id, query, accession, go_ids, pmids, go_names of the first `limit` annotated proteins: their first `size` residues.
+
+    proteins: (accession, sequence); annotations: (accession, go_id, pmids); terms: (go_id, name)."""
+    names = annotations.join(terms, "go_id").groupBy("accession").agg(F.array_sort(F.collect_set("name")).alias("go_names"))
+    a = annotations.groupBy("accession").agg(F.array_sort(F.collect_set("go_id")).alias("go_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmids"))
+    first = proteins.join(a, "accession").orderBy("accession").limit(limit).join(names, "accession", "left")
+    return first.select(F.concat(F.lit("seq_lit_query:"), "accession").alias("id"), F.substring("sequence", 1, size).alias("query"), "accession", "go_ids", "pmids", F.coalesce("go_names", F.array().cast("array<string>")).alias("go_names"))
 
 
 def without(df: DataFrame, held: DataFrame, col: str) -> DataFrame:
