@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,3 +116,13 @@ def similar_pairs(sequences: DataFrame, k: int, identity: float, coverage: float
 def alphabet(c):
     """dna if all letters are bases, else protein."""
     return F.when(F.upper(c).rlike("^[ACGTUN]+$"), "dna").otherwise("protein")
+
+
+def encoded_id(c: Column) -> Column:
+    """An id without white space, pipes or commas for FASTA headers: q_ and the id, other characters as % and two hex digits."""
+    safe = F.regexp_replace(F.url_encode(c.cast("string")), r"\+", "%20")
+    return F.concat(F.lit("q_"), safe)
+
+
+def decoded_id(c: Column) -> Column:
+    return F.url_decode(F.regexp_replace(c, "^q_", ""))

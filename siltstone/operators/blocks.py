@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from siltstone.operators.text_search import top
 
@@ -73,11 +75,11 @@ class Best:
                 self.least[q] = -best[-1][0]
 
 
-def top_k(docs: DataFrame, id_col: str, parts: list[tuple[Queries, Callable]], query_col: str, query_type: str, k: int) -> DataFrame:
+def top_k(docs: DataFrame, id_col: str, parts: list[tuple[Queries, Callable]], query_col: str, query_type: DataType, k: int) -> DataFrame:
     """(query, id, score, rank). parts: blocks of queries, each with a function of (queries, batch) that gives for slices of a
     batch the first row and its dense scores, rounded."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = None
+    schema = f"{query_col} {query_type.simpleString()}, {id_col} {docs.schema[id_col].dataType.simpleString()}, score double"
+    asked_type, out = to_arrow_type(query_type), None
     for queries, scored in parts:
         shared = docs.sparkSession.sparkContext.broadcast(queries)  # bounded by BLOCK_ENTRIES and BLOCK_QUERIES
 
@@ -93,12 +95,12 @@ def top_k(docs: DataFrame, id_col: str, parts: list[tuple[Queries, Callable]], q
             rows = [(asked.ids[q], i, -s) for q, kept in enumerate(best.kept) for s, i in kept]
             if rows:
                 a, b, c = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, types), pa.array(c, pa.float64())], [query_col, id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, asked_type), pa.array(b, types), pa.array(c, pa.float64())], [query_col, id_col, "score"])
 
-        part = docs.mapInArrow(run, f"{query_col} {query_type}, {id_col} {kind}, score double")
+        part = docs.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], f"{query_col} {query_type}, {id_col} {kind}, score double")
+        out = docs.sparkSession.createDataFrame([], schema)
     return top(out, query_col, [F.desc("score"), id_col], k)
 
 

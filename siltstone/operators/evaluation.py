@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import statistics as st
 from siltstone.operators.text_search import top
+from siltstone.sources.shared import stored
 
 
 def ranking_report(ranked: DataFrame, expected: DataFrame, papers: DataFrame, ks: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
@@ -115,17 +116,117 @@ def literature_support(membership: DataFrame, papers: DataFrame, top_n: int = 5)
 def token_associations(tokens: DataFrame, labels: DataFrame, least_token: int, least_label: int, most_share: float, least_overlap: int) -> DataFrame:
     """token, label, n11, odds_ratio, p, q over all pairs of frequent enough tokens and labels: pairs that never meet have
     p = 1 and count as tests. tokens: (doc_id, token); labels: (doc_id, label)."""
+    t, g, n = _frequent(tokens, labels, least_token, least_label, most_share)
+    return _associations(tokens, labels, t, g, n, []).where(F.col("observed") >= least_overlap)
+
+
+def _frequent(tokens: DataFrame, labels: DataFrame, least_token: int, least_label: int, most_share: float) -> tuple[DataFrame, DataFrame, int]:
     n = tokens.select("doc_id").union(labels.select("doc_id")).distinct().count()
     t = tokens.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("dt")).where((F.col("dt") >= least_token) & (F.col("dt") <= most_share * n))
-    g = labels.distinct().groupBy("label").agg(F.count(F.lit(1)).alias("dl")).where(F.col("dl") >= least_label)
-    both = tokens.distinct().join(t, "token").join(labels.distinct().join(g, "label"), "doc_id").groupBy("token", "label").agg(F.count(F.lit(1)).alias("observed"), F.first("dt").alias("draws"), F.first("dl").alias("successes"))
+    return t, labels.distinct().groupBy("label").agg(F.count(F.lit(1)).alias("dl")).where(F.col("dl") >= least_label), n
+
+
+def _associations(tokens: DataFrame, labels: DataFrame, t: DataFrame, g: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """labels may have further columns `by`, each of whose values is a table of its own."""
+    both = tokens.distinct().join(t, "token").join(labels.distinct().join(g, "label"), "doc_id").groupBy(*by, "token", "label").agg(F.count(F.lit(1)).alias("observed"), F.first("dt").alias("draws"), F.first("dl").alias("successes"))
     tests = t.count() * g.count()
-    rows = st.hypergeometric(both.withColumn("population", F.lit(n)), ["token", "label"])
+    rows = stored(st.hypergeometric(both.withColumn("population", F.lit(n)), [*by, "token", "label"]), "associations")
     # The pairs that never meet come last with p = 1: they only raise the number of tests.
-    q = st.benjamini_hochberg(rows, order=["token", "label"])
-    met = rows.count()
+    q = st.benjamini_hochberg(rows, by=by, order=["token", "label"])
+    met = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_met"))
+    q = (q.join(met, by) if by else q.crossJoin(F.broadcast(met))).withColumn("q", F.least(F.lit(1.0), F.col("q") * F.lit(tests) / F.col("_met"))).drop("_met")
     a, b, c = F.col("observed"), F.col("draws") - F.col("observed"), F.col("successes") - F.col("observed")
-    return q.withColumn("q", F.least(F.lit(1.0), F.col("q") * F.lit(tests / max(1, met)))).withColumn("odds_ratio", st.odds_ratio(a, b, c, F.lit(n) - a - b - c)).where(F.col("observed") >= least_overlap)
+    return q.withColumn("odds_ratio", st.odds_ratio(a, b, c, F.lit(n) - a - b - c))
+
+
+def permutation_null(tokens: DataFrame, labels: DataFrame, lengths: DataFrame, least_token: int, least_label: int, most_share: float, least_overlap: int, fdr: float = 0.05, bins: int = 10, replicates: int = 20, seed: str = "1") -> DataFrame:
+    """One row: observed significant associations, replicates, their mean number under labels dealt anew among documents of
+    similar length, and the empirical p, (1 + replicates with as many) / (1 + replicates). lengths: (doc_id, length)."""
+    t, g, n = _frequent(tokens, labels, least_token, least_label, most_share)
+    good = (F.col("q") <= fdr) & (F.col("odds_ratio") > 1) & (F.col("observed") >= least_overlap)
+    observed = _associations(tokens, labels, t, g, n, []).where(good).count()
+    sets = lengths.join(labels.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("labels")), "doc_id", "left")
+    dealt = st.stratified_permutation(sets, "doc_id", "length", "labels", bins, replicates, seed)
+    null = _associations(tokens, dealt.select("replicate", "doc_id", F.explode("labels").alias("label")), t, g, n, ["replicate"])
+    counts = null.groupBy("replicate").agg(F.count(F.when(good, 1)).alias("n"))
+    every = tokens.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"))
+    counts = every.join(counts, "replicate", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.agg(F.lit(observed).cast("long").alias("observed"), F.count(F.lit(1)).alias("replicates"), F.round(F.avg("n"), 6).alias("null_mean"), F.round((1 + F.count(F.when(F.col("n") >= observed, 1))) / (1 + F.count(F.lit(1))), 6).alias("empirical_p"))
+
+
+def graph_rerank_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Seed and expanded candidates: recall over the evaluable rows, mean counts and latency, and the graph's statuses.
+
+    rows: bio_evaluable, seed_hit, expanded_hit (booleans), seeds, added, neighbours, nodes_found, ms, graph_status."""
+    share = lambda c, n: F.round(F.coalesce(F.avg(F.when(F.col("bio_evaluable"), F.coalesce(F.col(c), F.lit(False)).cast("double"))), F.lit(0.0)), 4).alias(n)
+    mean = lambda c, d=4: F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), d).alias(f"mean_{c}")
+    n = rows.groupBy(*by, "graph_status").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("graph_status", "n")))).alias("statuses"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), share("seed_hit", "seed_recall"), share("expanded_hit", "expanded_recall"), *map(mean, ("seeds", "added", "neighbours", "nodes_found")), mean("ms", 3)).join(n, by)
+
+
+def paper_paths(candidates: DataFrame, mapping: DataFrame, expected: DataFrame, top_k: int = 10, paper_k: int = 50) -> DataFrame:
+    """query_id, method, accession_hit, paper_hit, paper_recall, path_complete of sequence-to-paper retrieval.
+
+    candidates: (method, query_id, item, rank); mapping: (item, paper, pos); expected: (query_id, items, papers), arrays. The
+    method `oracle`, which takes the expected items themselves, is added. Every method has a row for every query."""
+    from siltstone.operators.fusion import ranked_papers
+
+    own = expected.select(F.lit("oracle").alias("method"), "query_id", F.posexplode(F.array_sort(F.array_distinct("items"))).alias("rank", "item")).withColumn("rank", F.col("rank") + 1)
+    rows = candidates.select("method", "query_id", "item", "rank").unionByName(own).where(F.col("rank") <= top_k).withColumn("key", F.struct("method", "query_id"))
+    found = rows.groupBy("method", "query_id").agg(F.collect_set("item").alias("got"))
+    papers = ranked_papers(rows, mapping, "key", "item", "paper", paper_k).groupBy("key.method", "key.query_id").agg(F.collect_set("paper").alias("read"))
+    every = expected.crossJoin(F.broadcast(rows.select("method").distinct()))
+    both = every.join(found, ["method", "query_id"], "left").join(papers, ["method", "query_id"], "left")
+    common = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)), F.lit(0))
+    hit, read = common("items", "got"), common("papers", "read")
+    recall = F.round(F.coalesce(F.try_divide(read, F.size(F.array_distinct("papers"))), F.lit(0.0)), 6)
+    return both.select("query_id", "method", (hit > 0).alias("accession_hit"), (read > 0).alias("paper_hit"), recall.alias("paper_recall"), ((hit > 0) & (read > 0)).alias("path_complete"))
+
+
+#: The grid of the claim selector: candidates, rank offset, power of the inverse document frequency, claims given out.
+GRID = {"candidate_k": (5, 10, 20, 50), "rank_offset": (0.0, 1.0, 5.0, 10.0, 20.0, 60.0), "idf_power": (0.0, 0.5, 1.0, 1.5, 2.0)}
+OUTPUT = {"function": (1, 3, 5), "literature": (1, 3, 5, 10)}
+
+
+def selector_scores(candidates: DataFrame, claims: DataFrame, df: DataFrame, n: int, expected: DataFrame, task: str, grid: dict = GRID) -> DataFrame:
+    """query_id, the grid's columns, output_k, precision, recall, f1 of every configuration (360 for functions, 480 for papers).
+
+    candidates: (query_id, item, rank); claims: (item, claim); df: (claim, df); expected: (query_id, claim). A claim scores the sum
+    of idf ^ power / (offset + rank) over its candidates; ties by df, then claim. Claims of all configurations are one
+    aggregate; rows grow with queries x claims x configurations, all of them needed."""
+    idf = F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
+    base = candidates.join(claims, "item").join(df, "claim", "left").select("query_id", "claim", "rank", idf.alias("idf"), F.coalesce("df", F.lit(0)).alias("df"))
+    for name, values in grid.items():
+        base = base.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    key = ["query_id", *grid]
+    scored = base.where(F.col("rank") <= F.col("candidate_k")).groupBy(*key, "claim").agg(F.round(F.sum(F.pow("idf", "idf_power") / (F.col("rank_offset") + F.col("rank"))), 9).alias("score"), F.first("df").alias("df"))
+    want = expected.select("query_id", "claim").distinct().withColumn("hit", F.lit(1))
+    ranked = top(scored, key, [F.desc("score"), "df", "claim"], max(OUTPUT[task])).join(want, ["query_id", "claim"], "left")
+    most = F.broadcast(expected.sparkSession.createDataFrame([(k,) for k in OUTPUT[task]], "output_k int"))
+    sums = ranked.join(most, F.col("rank") <= F.col("output_k")).groupBy(*key, "output_k").agg(F.count(F.lit(1)).alias("given"), F.count("hit").alias("hits"))
+    size = want.groupBy("query_id").agg(F.count(F.lit(1)).alias("want"))
+    p, r = F.col("hits") / F.col("given"), F.coalesce(F.col("hits") / F.col("want"), F.lit(0.0))
+    rows = sums.join(size, "query_id", "left").withColumn("precision", p).withColumn("recall", r)
+    return rows.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))).select(*key, "output_k", "precision", "recall", "f1")
+
+
+def tuned_selector(scores: DataFrame, dev: DataFrame) -> DataFrame:
+    """The configuration of the best mean f1, recall and precision on the dev queries (query_id), then the fewest claims and
+    candidates, then the smallest offset and power."""
+    n = dev.count()
+    means = scores.join(dev.select("query_id"), "query_id", "left_semi").groupBy(*GRID, "output_k").agg(*[F.round(F.sum(m) / n, 9).alias(m) for m in ("f1", "recall", "precision")])
+    return means.orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), "output_k", "candidate_k", "rank_offset", "idf_power").limit(1)
+
+
+def modality_counts(evidence: DataFrame) -> DataFrame:
+    """query_id, routes and modalities: maps of counts. evidence: (query_id, route, target)."""
+    from siltstone.operators.corpus import modality
+
+    def counted(c: Column, name: str) -> DataFrame:
+        n = evidence.groupBy("query_id", c.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    return counted(F.col("route"), "routes").join(counted(modality(F.coalesce("target", F.lit("text"))), "modalities"), "query_id")
 
 
 def purity_summary(rows: DataFrame) -> DataFrame:

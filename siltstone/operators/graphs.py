@@ -42,13 +42,15 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolved(queries: DataFrame, aliases: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """query_id, entity_id, tier, rank. Tier 0: an alias equal but for case, by an equi-join. Tier 1: the query in an alias
-    or a name. That is a containment join; the few queries are its small side."""
+    or a name, by one pass of an automaton over these."""
+    from siltstone.operators.splits import containment
+
     q = queries.select("query_id", F.trim("query").alias("query")).where("query <> ''")
     exact = q.join(aliases, F.upper("query") == F.upper("alias")).select("query_id", "entity_id", F.lit(0).alias("tier"))
     names = aliases.select("entity_id", "alias").unionByName(nodes.select("entity_id", F.col("name").alias("alias")))
-    part = names.join(F.broadcast(q) if q.count() <= 10_000 else q, F.contains(F.lower("alias"), F.lower("query"))).select("query_id", "entity_id", F.lit(1).alias("tier"))
-    best = exact.unionByName(part).groupBy("query_id", "entity_id").agg(F.min("tier").alias("tier")).join(nodes.select("entity_id", "entity_type"), "entity_id")
-    return top(best, "query_id", ["tier", "entity_type", "entity_id"], limit)
+    part = containment(q.select("query_id", F.lower("query").alias("query")), names.select(F.col("entity_id").alias("id"), F.lower("alias").alias("text")))
+    best = exact.unionByName(part.select("query_id", F.col("id").alias("entity_id"), F.lit(1).alias("tier"))).groupBy("query_id", "entity_id").agg(F.min("tier").alias("tier"))
+    return top(best.join(nodes.select("entity_id", "entity_type"), "entity_id"), "query_id", ["tier", "entity_type", "entity_id"], limit)
 
 
 def expanded(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
@@ -162,11 +164,18 @@ def kmer_graph(nodes: DataFrame, size: int, neighbours: int) -> DataFrame:
     return undirected(top(near.drop("rank"), "query", [F.desc("score"), F.desc("other")], neighbours), "query", "other", "score")
 
 
+#: Links of one graph that a task of greedy_communities() or degree_null() takes.
+GREEDY_LINKS = 500_000
+
+
 def greedy_communities(pairs: DataFrame, group: str) -> DataFrame:
-    """(group, node, community) by greedy modularity, each graph of the column `group` in one task: for graphs of some
-    thousand nodes. Communities are merged by the largest gain until none is left; ties by the smaller pair."""
+    """(group, node, community) by greedy modularity, each graph of the column `group` in one task. A graph of more than
+    GREEDY_LINKS links is an error: label_propagation() is the way for these. Communities are merged by the largest gain until
+    none is left; ties by the smaller pair."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > GREEDY_LINKS:
+            raise ValueError(f"{len(pdf)} links in one graph; greedy_communities takes {GREEDY_LINKS}, label_propagation any number")
         m = float(len(pdf))
         links: dict = {}
         for u, v in zip(pdf["u"], pdf["v"]):
@@ -191,9 +200,12 @@ def greedy_communities(pairs: DataFrame, group: str) -> DataFrame:
 
 
 def degree_null(pairs: DataFrame, replicates: int, swaps: float = 5.0, seed: int = 1) -> DataFrame:
-    """(replicate, u, v): double edge swaps that keep every degree; each replicate is one task's random walk."""
+    """(replicate, u, v): double edge swaps that keep every degree; each replicate is one task's random walk, of
+    GREEDY_LINKS links at most."""
 
     def swap(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > GREEDY_LINKS:
+            raise ValueError(f"{len(pdf)} links; a random walk takes {GREEDY_LINKS}")
         r = int(pdf["replicate"].iloc[0])
         rng, e = np.random.default_rng([seed, r]), sorted(zip(pdf["u"].tolist(), pdf["v"].tolist()))
         have = set(e)

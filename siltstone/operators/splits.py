@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.operators.text_search import top
 
@@ -89,6 +90,7 @@ def _patterns(queries: DataFrame, most: int = AUTOMATON_CHARS) -> Iterator[dict[
 def containment(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, id): texts that hold a whole query text. One pass over the texts with an automaton of all queries, built in
     each worker; queries beyond AUTOMATON_CHARS take further passes. Nothing is shuffled."""
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
     out, schema = None, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {texts.schema['id'].dataType.simpleString()}"
     for block in _patterns(queries):
         shared = texts.sparkSession.sparkContext.broadcast(block)
@@ -105,7 +107,7 @@ def containment(queries: DataFrame, texts: DataFrame) -> DataFrame:
                 rows = [(q, i) for i, patterns in enumerate(found) for p in sorted(patterns) for q in shared.value[p]]
                 if rows:
                     q, i = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(i))], ["query_id", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q, kind), ids.take(pa.array(i))], ["query_id", "id"])
 
         part = texts.select("id", "text").mapInArrow(find, schema)
         out = part if out is None else out.unionByName(part)
@@ -145,6 +147,12 @@ def cluster_held_out(membership: DataFrame, labels: DataFrame, target: int, seed
     return good.orderBy("_h", "cluster").limit(target).select("cluster")
 
 
+def gc_bin(c: Column, bins: int) -> Column:
+    """The bin, from 0, of a sequence's share of G and C."""
+    gc = F.length(F.regexp_replace(c, "[^GC]", ""))
+    return F.floor(bins * gc / F.greatest(F.length(c), F.lit(1))).cast("int")
+
+
 def hard_negatives(df: DataFrame, id_col: str, group: str, bin_col: str, grams_of: Column, per: int = 1) -> DataFrame:
     """(id, negative, jaccard): rows of another group in the same bin that share most k-mers, by an inverted k-mer join."""
     grams = df.select(F.col(id_col), F.col(group), F.col(bin_col), F.array_distinct(grams_of).alias("k")).withColumn("n", F.size("k"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.text_search import top
+from siltstone.sources.shared import numbered, stored
 
 
 def first_match(ranked: DataFrame, by: list[str], matched: Column) -> DataFrame:
@@ -86,13 +87,27 @@ def hypergeometric(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("p", tail("population", "successes", "draws", "observed"))
 
 
+#: Ranks in one task of a running minimum over a whole table.
+RANKS = 100_000
+
+
 def benjamini_hochberg(rows: DataFrame, p: str = "p", by: list[str] = (), order: list[str] = ()) -> DataFrame:
-    """q = the running least of p m / rank from the largest p down, 1 at most."""
-    all_ = list(by) or [F.lit(1)]
-    asc = Window.partitionBy(*all_).orderBy(p, *order)
-    ranked = rows.withColumn("_r", F.row_number().over(asc)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*all_)))
-    down = Window.partitionBy(*all_).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
+    """q = the running least of p m / rank from the largest p down, 1 at most; for each group of `by`, or for all rows.
+
+    All rows are ranked in ranges, and the running minimum is taken in lots of RANKS with the minima of later lots, one number
+    a lot, so no task holds the table."""
+    if by:
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(p, *order))).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        down = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
+    ranked = stored(numbered(rows, [p, *order], "_r"), "ranked")
+    m = ranked.count()
+    raw = ranked.withColumn("_x", F.col(p) * m / (F.col("_r") + 1)).withColumn("_lot", F.floor(F.col("_r") / RANKS))
+    lots = sorted((r["_lot"], r["x"]) for r in raw.groupBy("_lot").agg(F.min("_x").alias("x")).collect())
+    later = [(k, min([1.0, *(x for _, x in lots[i + 1 :])])) for i, (k, _) in enumerate(lots)]
+    rest = F.broadcast(rows.sparkSession.createDataFrame(later, "_lot long, _later double"))
+    down = Window.partitionBy("_lot").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return raw.join(rest, "_lot").withColumn("q", F.least("_later", F.min("_x").over(down))).drop("_r", "_x", "_lot", "_later")
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -155,7 +170,10 @@ def bootstrap(rows: DataFrame, by: str, value: str, samples: int = 2000, seed: i
 
 def stratified_permutation(rows: DataFrame, id_col: str, length: str, label: str, bins: int, replicates: int, seed: str = "1") -> DataFrame:
     """(replicate, id, label): labels dealt anew among rows of similar length, in hash order."""
-    strata = rows.withColumn("stratum", F.ntile(bins).over(Window.orderBy(length, id_col)))
+    placed = stored(numbered(rows.select(id_col, length, label), [length, id_col], "_at"), "strata")
+    small, more = divmod(placed.count(), bins)  # the first `more` strata have one row more, as ntile deals them
+    front, at = more * (small + 1), F.col("_at")
+    strata = placed.withColumn("stratum", F.when(at < front, F.floor(at / (small + 1))).otherwise(more + F.floor((at - front) / max(1, small)))).drop("_at")
     many = strata.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     w = lambda *c: Window.partitionBy("replicate", "stratum").orderBy(*c)
     draw = F.sha2(F.concat_ws(":", F.lit(seed), "replicate", F.col(id_col)), 256)

@@ -28,6 +28,12 @@ def document_frequency(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(F.col("df"), n))
 
 
+def frequent_tokens(df: DataFrame, text: Column, k: int) -> DataFrame:
+    """(token, n, rank): the k most frequent tokens; only these are ranked."""
+    counts = df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "token").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+
+
 def idf(df: Column, n: int | Column) -> Column:
     return F.log1p((F.lit(n) - df + 0.5) / (df + 0.5))
 
@@ -93,7 +99,7 @@ def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_c
                 yield a, np.round(block.scores(row[cut] - a, term[cut], w[cut], b - a), 6)
 
         parts.append((block, scored))
-    return blocks.top_k(toks, id_col, parts, query_col, queries.schema[query_col].dataType.simpleString(), k).select(query_col, id_col, F.round("score", 6).alias("score"), "rank")
+    return blocks.top_k(toks, id_col, parts, query_col, queries.schema[query_col].dataType, k).select(query_col, id_col, F.round("score", 6).alias("score"), "rank")
 
 
 def kmer_hashes(text: str, k: int) -> np.ndarray:
@@ -132,7 +138,7 @@ def kmer_jaccard(docs: DataFrame, id_col: str, text: Column, queries: DataFrame,
             yield a, np.round(both / np.maximum(1, n[:, None] + block.sizes[None] - both), 6)
 
     parts = [(block, scored) for block in blocks.blocks(read())]
-    return blocks.top_k(docs.select(F.col(id_col), text.alias("t")), id_col, parts, query_col, queries.schema[query_col].dataType.simpleString(), k)
+    return blocks.top_k(docs.select(F.col(id_col), text.alias("t")), id_col, parts, query_col, queries.schema[query_col].dataType, k)
 
 
 def like_search(df: DataFrame, words: list[str], cols: list[str], order: list, limit: int) -> DataFrame:
@@ -145,9 +151,16 @@ def like_search(df: DataFrame, words: list[str], cols: list[str], order: list, l
 
 
 def exact_first(df: DataFrame, symbol: str, text: str, query: str, id_col: str, limit: int) -> DataFrame:
-    """Rows whose text holds the query; those whose symbol equals it come first."""
+    """Rows whose text holds the query, `limit` at most; those whose symbol equals it come first. Only the chosen are ranked."""
     exact = F.when(F.upper(symbol) == query.upper(), 0).otherwise(1)
-    return top(df.where(F.col(text).ilike(f"%{query}%")).withColumn("tier", exact).withColumn("all", F.lit(1)), "all", ["tier", id_col], limit).drop("all")
+    first = df.where(F.col(text).ilike(f"%{query}%")).withColumn("tier", exact).orderBy("tier", id_col).limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("tier", id_col)))
+
+
+def fts_query(c: Column) -> Column:
+    """A full-text query: white-space tokens in double quotes, quotes in them doubled, joined by OR; NULL without tokens."""
+    words = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.nullif(F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " OR "), F.lit(""))
 
 
 def graph_scores(query_tokens: DataFrame, token_labels: DataFrame, label_docs: DataFrame) -> DataFrame:

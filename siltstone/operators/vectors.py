@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.text_search import top
+from siltstone.sources.shared import numbered
 
 BLOCK = 4096
 
@@ -21,12 +22,6 @@ def normalized(v: Column) -> Column:
     return F.when(norm == 0, x).otherwise(F.transform(x, lambda e: e / norm))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """For a few pairs; knn() is for many."""
-    dot = lambda p, q: F.aggregate(F.zip_with(p.cast("array<double>"), q.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def knn(queries: DataFrame, vectors: DataFrame, k: int, not_self: bool = True, block: int = BLOCK) -> DataFrame:
     """query_id, id, score, rank: the k largest cosines (6 places, ties by id) among vectors (id, v) of each of queries (query_id, v).
 
@@ -95,20 +90,11 @@ def random_neighbours(anchors: DataFrame, vectors: DataFrame, k: int, seed: str
     from a place that its own hash sets, so no pairs are made but those returned."""
     n = vectors.count()
     at = lambda c: F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.lit(":"), F.col(c).cast("string")), 256), 1, 12), 16, 10).cast("long")
-    parts = vectors.select("id", at("id").alias("h"))
-    ordered = parts.select("id", (F.row_number().over(Window.orderBy("h", "id")) - 1).alias("place")) if n <= 5_000_000 else _placed(parts)
+    ordered = numbered(vectors.select("id", at("id").alias("h")), ["h", "id"], "place")
     asked = anchors.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("step"), F.pmod(at("query_id"), F.lit(n)).alias("from")).withColumn("place", F.pmod(F.col("from") + F.col("step"), F.lit(n)))
     return top(asked.join(ordered, "place").where("query_id <> id"), "query_id", ["step"], k).select("query_id", "id", "rank")
 
 
-def _placed(parts: DataFrame) -> DataFrame:
-    """Places in hash order without a single task: ranks in ranges, then the ranges' sizes in front."""
-    cut = parts.withColumn("range", (F.col("h") / F.lit(float(1 << 48)) * 4096).cast("int"))
-    sizes = cut.groupBy("range").count().withColumn("before", F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("h", "id")) - 1
-    return cut.withColumn("r", rank).join(F.broadcast(sizes), "range").select("id", (F.col("r") + F.coalesce("before", F.lit(0))).alias("place"))
-
-
 def hashed_embedding(df: DataFrame, id_col: str, toks: Column, dims: int = 256) -> DataFrame:
     """(id, v): tokens add +-1 to a dimension that their SHA-256 names; length 1."""
     h = F.sha2(F.col("t"), 256)
@@ -135,16 +121,22 @@ class Embedders:
 
     def __init__(self):
         self._of: dict[str, object] = {}
+        self._alias: dict[str, str] = {}
 
-    def register(self, name: str, factory) -> None:
+    def register(self, name: str, factory, aliases: tuple[str, ...] = ()) -> None:
         """factory(**options) -> Callable[[list[str]], np.ndarray], made once in each worker."""
         self._of[name] = factory
+        self._alias |= dict.fromkeys(aliases, name)
+
+    def __contains__(self, name: str) -> bool:
+        return self._alias.get(name, name) in self._of
 
     def names(self) -> list[str]:
         return sorted(self._of)
 
     def embed(self, df: DataFrame, id_col: str, text: str, name: str, **options) -> DataFrame:
         """(id, v) by the named embedder, in Arrow batches."""
+        name = self._alias.get(name, name)
         if name not in self._of:
             raise ValueError(f"unknown embedder {name!r}; known: {', '.join(self.names())}")
         factory = self._of[name]
@@ -155,3 +147,60 @@ class Embedders:
                 yield pd.DataFrame({id_col: b[id_col], "v": list(np.asarray(encode(b[text].fillna("").tolist()), dtype=np.float32))})
 
         return df.select(id_col, text).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, v array<float>")
+
+
+def hashing(dims: int = 256):
+    """The hashing embedder as hashed_embedding() has it: tokens add +-1 to a dimension that their SHA-256 names."""
+    import hashlib
+
+    import regex
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for i, text in enumerate(texts):
+            for token in regex.findall(r"[\p{L}\p{N}]+", text.lower()):
+                h = hashlib.sha256(token.encode()).hexdigest()
+                out[i, int(h[:8], 16) % dims] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+    return encode
+
+
+def kmer_counts(k: int = 3, alphabet: str = "ACGT"):
+    """Counts of k-mers over an alphabet, at length 1; other letters break k-mers."""
+    place = {c: i for i, c in enumerate(alphabet)}
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(alphabet) ** k))
+        for i, text in enumerate(texts):
+            x = np.array([place.get(c, -1) for c in text.upper()], dtype=np.int64)
+            if len(x) >= k:
+                parts = np.stack([x[j : len(x) - k + 1 + j] for j in range(k)])
+                code = (parts * len(alphabet) ** np.arange(k - 1, -1, -1)[:, None]).sum(0)[(parts >= 0).all(0)]
+                out[i] = np.bincount(code, minlength=out.shape[1])
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+    return encode
+
+
+def oriented(df: DataFrame, id_col: str, sequence: str, name: str, orientation: str = "none", embedders: Embedders | None = None) -> DataFrame:
+    """(id, v) of DNA sequences: none (as they are), rc (the other strand), rc_mean (the mean of both, at length 1)."""
+    from siltstone.functions.sequence import reverse_complement
+    from siltstone.operators.evaluation import strand_mean
+
+    embedders = embedders or EMBEDDERS
+    forward = embedders.embed(df, id_col, sequence, name)
+    if orientation == "none":
+        return forward
+    other = embedders.embed(df.withColumn(sequence, reverse_complement(F.col(sequence))), id_col, sequence, name)
+    if orientation == "rc":
+        return other
+    if orientation != "rc_mean":
+        raise ValueError(f"unknown orientation {orientation!r}")
+    return forward.join(other.withColumnRenamed("v", "w"), id_col).select(id_col, strand_mean(F.col("v"), F.col("w")).alias("v"))
+
+
+#: Embedders that need no model; neural ones are registered by those who have them.
+EMBEDDERS = Embedders()
+EMBEDDERS.register("hashing", hashing, ("hash", "local"))
+EMBEDDERS.register("kmer", kmer_counts, ("3mer", "dna-3mer"))

@@ -33,4 +33,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from siltstone.plans import answering, evidence, files, graph, judge, reports, search, sequences  # noqa: F401
+    from siltstone.plans import answering, evidence, files, graph, judge, metrics, reports, retrieval, search, sequences  # noqa: F401

@@ -153,16 +153,23 @@ def bfs_trace(t):
     return graphs.traced(seeds, edges(t), 2, 30).select("seed_id", "u", "v", "relation_type", "depth", "rank")
 
 
+def _near_vectors(t):
+    """The neighbour graph of all vectors."""
+    from siltstone.plans.search import _knn
+
+    return graphs.undirected(_knn(t), "query_id", "id", "score")
+
+
 @query()
 def community_detection(t):
-    """Greedy-modularity communities of the suppliers' graph (no SQL: merges in sequence)."""
-    return graphs.greedy_communities(_shared_parts(t).where("weight >= 2").withColumn("graph", F.lit("suppliers")), "graph")
+    """Greedy-modularity communities of the vectors' neighbour graph (no SQL: merges in sequence)."""
+    return graphs.greedy_communities(_near_vectors(t).withColumn("graph", F.lit("vectors")), "graph")
 
 
 @query()
 def degree_null(t):
-    """Degrees of three degree-preserving nulls (no SQL: random walks)."""
-    null = graphs.degree_null(_shared_parts(t).where("weight >= 2"), 3)
+    """Degrees of three degree-preserving nulls of the vectors' neighbour graph (no SQL: random walks)."""
+    null = graphs.degree_null(_near_vectors(t), 3)
     return null.select("replicate", F.explode(F.array("u", "v")).alias("node")).groupBy("replicate", "node").agg(F.count(F.lit(1)).alias("degree"))
 
 

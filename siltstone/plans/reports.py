@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import sequence as seq
 from siltstone.operators import corpus, evaluation, graphs, knowledge
 from siltstone.operators import statistics as st
 from siltstone.plans.catalog import query
@@ -61,22 +60,37 @@ def literature_support(t):
 @query("""WITH tk AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS token FROM documents), lb AS (SELECT DISTINCT doc_id, 'lang:' || lang AS label FROM documents WHERE lang IS NOT NULL),
  n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), t AS (SELECT token, count(*) AS dt FROM tk, n GROUP BY token HAVING count(*) >= 20 AND count(*) <= 0.5 * any_value(n)), g AS (SELECT label, count(*) AS dl FROM lb GROUP BY label HAVING count(*) >= 10),
  b AS (SELECT token, label, count(*) AS o, any_value(dt) AS dt, any_value(dl) AS dl FROM tk JOIN t USING (token) JOIN lb USING (doc_id) JOIN g USING (label) GROUP BY 1, 2)
-SELECT token, label, o AS observed, round((o + 0.5) * (n - dt - dl + o + 0.5) / ((dt - o + 0.5) * (dl - o + 0.5)), 6) AS odds_ratio FROM b, n WHERE o >= 5""")
+,
+ x AS (SELECT token, label, any_value(o) AS o, any_value(dt) AS dt, any_value(dl) AS dl, any_value(n) AS n, least(1.0, sum(exp(lgamma(dl + 1.0) - lgamma(k + 1.0) - lgamma(dl - k + 1.0) + lgamma(n - dl + 1.0) - lgamma(dt - k + 1.0) - lgamma(n - dl - dt + k + 1.0) - lgamma(n + 1.0) + lgamma(dt + 1.0) + lgamma(n - dt + 1.0)))) AS p
+  FROM b, n, unnest(range(greatest(o, dt + dl - n), least(dt, dl) + 1)) AS u(k) GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (ORDER BY p, token, label) AS r FROM x), k AS (SELECT (SELECT count(*) FROM t) * (SELECT count(*) FROM g) AS tests),
+ q AS (SELECT *, least(1.0, min(p * tests / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r, k)
+SELECT token, label, o AS observed, round((o + 0.5) * (n - dt - dl + o + 0.5) / ((dt - o + 0.5) * (dl - o + 0.5)), 6) AS odds_ratio, round(p, 6) AS p, round(q, 6) AS q FROM q WHERE o >= 5""")
 def token_associations(t):
     """Tokens against languages."""
     from siltstone.functions.text import tokens
 
     tk = t.documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     lb = t.documents.where("lang is not null").select("doc_id", F.concat(F.lit("lang:"), "lang").alias("label"))
-    return evaluation.token_associations(tk, lb, 20, 10, 0.5, 5).select("token", "label", "observed", F.round("odds_ratio", 6).alias("odds_ratio"))
+    return evaluation.token_associations(tk, lb, 20, 10, 0.5, 5).select("token", "label", "observed", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "p", "q")])
+
+
+@query()
+def token_permutation_null(t):
+    """Significant token and language pairs against languages dealt anew among texts of similar length (no SQL: replicates)."""
+    from siltstone.functions.text import tokens
+
+    tk = t.documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    lb = t.documents.where("lang is not null").select("doc_id", F.concat(F.lit("lang:"), "lang").alias("label"))
+    return evaluation.permutation_null(tk, lb, t.documents.select("doc_id", F.col("n_chars").alias("length")), 20, 10, 0.5, 5, replicates=4)
 
 
 @query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2), s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1),
  p AS (SELECT source, lang, n, round(n / size, 6) AS purity FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM c) JOIN s USING (source) WHERE r = 1)
-SELECT count(*) AS communities, round(avg(purity), 6) AS mean_purity, min(purity) AS least_purity, max(purity) AS most_purity FROM p""")
+SELECT count(*) AS communities, round(avg(purity), 6) AS mean_purity, min(purity) AS least_purity, max(purity) AS most_purity, arg_max(lang, purity * 1000000 + n) AS top_label FROM p""")
 def purity_summary(t):
     p = st.purity(t.documents.select("source", "lang"), "source", "lang").withColumnRenamed("lang", "label")
-    return evaluation.purity_summary(p).drop("top_label")
+    return evaluation.purity_summary(p)
 
 
 @query(_BM25 + """, c AS (SELECT item_id, 'source:' || source AS claim, rank FROM bm JOIN documents USING (doc_id) WHERE rank <= 10), b AS (SELECT item_id, claim, min(rank) AS r FROM c GROUP BY 1, 2),
@@ -130,14 +144,26 @@ def query_set_check(t):
     return evaluation.same_queries(m).select("query_id", F.array_join("missing", ",").alias("missing"))
 
 
+_HOURLY = "h AS (SELECT date_trunc('hour', ts) AS query_id, event_type AS kind, avg(value) AS v FROM events GROUP BY 1, 2)"
+
+
+def _hourly(t):
+    return t.events.groupBy(F.date_trunc("hour", "ts").alias("query_id"), F.col("event_type").alias("kind")).agg(F.avg("value").alias("v"))
+
+
 @query()
 def paired_bootstrap(t):
-    """Interval of the difference of two event types' hourly means (no SQL: seeded resampling)."""
-    h = t.events.groupBy(F.date_trunc("hour", "ts").alias("query_id"), "event_type").agg(F.avg("value").alias("v"))
-    kinds = sorted(r[0] for r in t.events.select("event_type").distinct().collect())[:2]
-    a, b = (h.where(F.col("event_type") == k).select("query_id", "v") for k in kinds)
-    both = a.select("query_id").intersect(b.select("query_id"))
-    return st.bootstrap(evaluation.paired(a.join(both, "query_id"), b.join(both, "query_id"), "v").withColumn("pair", F.lit("-".join(kinds))), "pair", "delta")
+    """Intervals of the differences of any two event types' hourly means (no SQL: seeded resampling)."""
+    h = _hourly(t)
+    both = h.join(h.select("query_id", F.col("kind").alias("other"), F.col("v").alias("w")), "query_id").where("kind < other")
+    return st.bootstrap(both.select(F.concat_ws("-", "kind", "other").alias("pair"), (F.col("v") - F.col("w")).alias("delta")), "pair", "delta")
+
+
+@query(f"WITH {_HOURLY}, m AS (SELECT query_id, avg(v) AS a, max(v) AS b FROM h GROUP BY 1) SELECT query_id, round(b - a, 6) AS delta FROM m")
+def paired_deltas(t):
+    """The hourly differences of two result sets over the same hours."""
+    h = _hourly(t).groupBy("query_id").agg(F.avg("v").alias("a"), F.max("v").alias("b"))
+    return evaluation.paired(h.select("query_id", F.col("b").alias("v")), h.select("query_id", F.col("a").alias("v")), "v").select("query_id", F.round("delta", 6).alias("delta"))
 
 
 @query("""WITH s AS (SELECT item_id, regexp_replace(upper(replace(text, 'ß', 'SS')), '[^\\p{L}*]', '', 'g') AS s FROM benchmark) SELECT item_id, CAST(CASE WHEN length(s) <= 512 THEN least(8, len(list_distinct(list_prepend(s, CASE WHEN length(s) <= 128 THEN [s] ELSE list_concat(list_transform(range(0, CAST(ceil((length(s) - 128) / 64.0) AS BIGINT)), lambda i: substr(s, i * 64 + 1, 128)), [right(s, 128)]) END)))) ELSE 0 END AS INTEGER) AS texts, 'protein_window' AS target FROM s""")
@@ -178,10 +204,3 @@ def biological_matches(t):
     cand = F.create_map(F.lit("gene_symbols"), F.array("c_mktsegment"))
     want = F.create_map(F.lit("protein_gene_names"), F.array(F.lit("building"), F.lit("machinery")))
     return t.customer.select("c_custkey", knowledge.biological_match(cand, want).alias("matched"))
-
-
-@query(None)
-def mutated_fragments(t):
-    """Middle fragments with some residues replaced by a hash (no SQL: the same draws need the same hash arithmetic)."""
-    s = seq.middle(seq.clean(F.col("text"), stop=False), 60)
-    return t.benchmark.select("item_id", s.alias("query"), seq.mutated(s, F.col("item_id").cast("string"), "ACDEFGHIKLMNPQRSTVWY").alias("mutated"))
