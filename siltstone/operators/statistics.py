@@ -160,7 +160,8 @@ def bootstrap(rows: DataFrame, by: str, value: str, samples: int = 2000, seed: i
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         total, weight = np.sum([np.frombuffer(s).reshape(2, samples) for s in sorted(pdf["sums"])], axis=0)
-        low, high = np.percentile(total / np.maximum(weight, 1), [2.5, 97.5])
+        drawn = weight > 0  # a sample of a small group may be empty
+        low, high = np.percentile(total[drawn] / weight[drawn], [2.5, 97.5])
         return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [float(low)], "high": [float(high)]})
 
     ranges = counts.mapInPandas(sums, f"{by} {kind}, sums binary").groupBy(by).applyInPandas(interval, f"{by} {kind}, low double, high double")
