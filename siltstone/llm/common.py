@@ -43,10 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it back. options: of the Parquet writer."""
     path = f"{shared_dir(df.sparkSession)}/siltstone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

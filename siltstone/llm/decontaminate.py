@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import column, stored, table, tuned
 from siltstone.llm.words import of_text, raw, word_hashes
 
-WINDOW, SHARD_BYTES, BLOCK_WORDS = 13, 1_000_000, 1_000_000
+WINDOW, SHARD_BYTES, BLOCK_WORDS = 13, 250_000, 1_000_000
 #: Other words that proximity() lets stand between neighbours of a window.
 SLOP = 2
+#: Parquet options of the index: its rows are some 200 KB each, and a writer holds a row group in memory.
+BLOBS = {"parquet.block.size": str(4 << 20), "parquet.enable.dictionary": "false"}
 #: Rows of hit documents that may be broadcast, about 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -78,7 +80,7 @@ class Shard:
     """Postings of some documents: different words in order, how often each stands, and where."""
 
     def __init__(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray):
-        self.terms, self.counts, self.postings = terms, counts, postings.astype(np.int64)
+        self.terms, self.counts, self.postings = terms, counts.astype(np.int64), postings.astype(np.int64)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
         # All lists in one: a word's number times the shard's length, plus the position. In order, as the lists are.
@@ -104,6 +106,14 @@ def shard_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return terms, counts, order
 
 
+def cut(batch: pa.RecordBatch, shard_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row exclusive, word hashes, lengths) of each shard of a batch."""
+    data, offsets = raw(batch)
+    cuts = np.unique([0, *np.searchsorted(offsets, np.arange(shard_bytes, int(offsets[-1]), shard_bytes)), batch.num_rows]).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield a, b, *word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 _INDEX = "shard long, doc_ids array<long>, keys array<long>, lengths binary, terms binary, counts binary, postings binary"
 
 
@@ -117,13 +127,11 @@ def indexed(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
         made = TaskContext.get().partitionId() << 32
         for whole in batches:
-            data, offsets = raw(whole)
-            cuts = np.unique([0, *np.searchsorted(offsets, np.arange(shard_bytes, int(offsets[-1]), shard_bytes)), whole.num_rows])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                h, lengths = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b, h, lengths in cut(whole, shard_bytes):
                 terms, counts, at = shard_of(h)
                 ids, keys = (column(whole, c).slice(a, b - a).to_pylist() for c in ("doc_id", "key"))
-                row = made, ids, keys, lengths.astype("<i4").tobytes(), terms.astype("<u8").tobytes(), counts.astype("<i4").tobytes(), at.astype("<i4").tobytes()
+                narrow = "<u2" if len(h) < 1 << 16 else "<u4"  # what counts and positions are read as, too
+                row = made, ids, keys, lengths.astype("<i4").tobytes(), terms.astype("<u8").tobytes(), counts.astype(narrow).tobytes(), at.astype(narrow).tobytes()
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
@@ -131,7 +139,13 @@ def indexed(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def _array(batch: pa.RecordBatch, name: str, row: int, kind: str) -> np.ndarray:
-    return np.frombuffer(column(batch, name)[row].as_py(), kind)
+    return np.frombuffer(column(batch, name)[row].as_buffer(), kind)
+
+
+def _counts(batch: pa.RecordBatch, row: int, n: int) -> np.ndarray:
+    """The counts of n words, 2 or 4 bytes each."""
+    held = column(batch, "counts")[row].as_buffer()
+    return np.frombuffer(held, "<u2" if held.size == 2 * n else "<u4").astype(np.int64)
 
 
 def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -145,7 +159,7 @@ def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
                 have = _array(batch, "terms", r, "<u8")
                 if len(have):
                     at = np.minimum(np.searchsorted(have, wanted.value), len(have) - 1)
-                    sums += np.where(have[at] == wanted.value, _array(batch, "counts", r, "<i4")[at], 0)
+                    sums += np.where(have[at] == wanted.value, _counts(batch, r, len(have))[at], 0)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["term", "n"])
 
@@ -167,7 +181,7 @@ def intersect(tests: TestSet, shard: Shard, slop: int = 0) -> tuple[np.ndarray,
     known = np.flatnonzero(lead >= 0)
     if not len(known):
         return none
-    n = shard.counts[lead[known]].astype(np.int64)
+    n = shard.counts[lead[known]]
     stop = np.cumsum(shard.counts)[lead[known]]
     within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = shard.postings[np.repeat(stop - n, n) + within]
@@ -206,7 +220,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
     for batch in batches:
         for r in range(batch.num_rows):
             lengths = _array(batch, "lengths", r, "<i4").astype(np.int64)
-            shard = Shard(lengths, _array(batch, "terms", r, "<u8"), _array(batch, "counts", r, "<i4"), _array(batch, "postings", r, "<i4"))
+            terms = _array(batch, "terms", r, "<u8")
+            counts = _counts(batch, r, len(terms))
+            narrow = "<u2" if int(lengths.sum()) < 1 << 16 else "<u4"
+            shard = Shard(lengths, terms, counts, _array(batch, "postings", r, narrow))
             yield column(batch, "shard")[r].as_py(), column(batch, "doc_ids")[r].as_py(), column(batch, "keys")[r].as_py(), lengths, shard
 
 
@@ -231,7 +248,7 @@ def matches(index: DataFrame, tests: TestSet) -> DataFrame:
 
 def phrases(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """matches() against the whole test set, one row for each row of documents."""
-    index, found, n = stored(indexed(documents), "postings"), None, 0
+    index, found, n = stored(indexed(documents), "postings", **BLOBS), None, 0
     for tests in blocks(benchmark, block_words, window):
         part = matches(index, tests.anchor(frequencies(index, tests.terms)))
         found, n = part if found is None else found.unionByName(part), n + 1
@@ -251,7 +268,7 @@ def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """(doc_id, item_id, first, last): where all the words of a window stand in order with at most `slop` other words
     between neighbours, looked up from the rarest word outwards. Exact phrases are those of slop 0. A run covers the windows
     around one occurrence of that word; a document that holds several runs has a row for each."""
-    index, out = stored(indexed(documents), "postings"), None
+    index, out = stored(indexed(documents), "postings", **BLOBS), None
     for tests in blocks(benchmark, block_words, window):
         shared = index.sparkSession.sparkContext.broadcast(tests.anchor(frequencies(index, tests.terms)))
 
@@ -299,9 +316,49 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     return digested(phrases(documents, benchmark, window, block_words)).drop("key")
 
 
+def counted(documents: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """frequencies() of the sorted words without a stored index."""
+    wanted = documents.sparkSession.sparkContext.broadcast(terms)  # bounded by BLOCK_WORDS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(wanted.value) + 1, dtype=np.int64)
+        for batch in batches:
+            for _, _, h, _ in cut(batch, SHARD_BYTES):
+                at = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
+                sums += np.bincount(np.where(wanted.value[at] == h, at, len(wanted.value)), minlength=len(sums))
+        some = np.flatnonzero(sums[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["term", "n"])
+
+    out = np.zeros(len(terms), dtype=np.int64)
+    for r in documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["term"]] = r["n"]
+    return out
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, least_share: float = 0.0) -> DataFrame:
     """The rows of documents without a whole window of the test set, all columns. With `least_share`, only those go in which
-    hit words make that share of all words or more. Rows are told apart by id and text, so an id's other texts stay."""
+    hit words make that share of all words or more.
+
+    A test set of one block is broadcast, and rows are filtered where they are read, against shards that are dropped again.
+    The hits of several blocks add up, so these go through the stored index; rows are then told apart by id and text."""
+    parts = blocks(benchmark, block_words, window)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return documents
+    if second is None:
+        shared = documents.sparkSession.sparkContext.broadcast(first.anchor(counted(documents, first.terms)))
+
+        def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = np.ones(batch.num_rows, dtype=bool)
+                for a, _, h, lengths in cut(batch, SHARD_BYTES):
+                    _, doc, begin, end = intersect(shared.value, Shard(lengths, *shard_of(h)))
+                    for d in np.unique(doc).tolist():
+                        hits = np.stack([begin[doc == d], end[doc == d]], axis=1).astype("<i4").tobytes()
+                        good[a + d] = covered(hits) < least_share * int(lengths[d])
+                yield batch.filter(pa.array(good))
+
+        return documents.mapInArrow(filtered, documents.schema)
     found = digested(phrases(documents, benchmark, window, block_words))
     hit = found.where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words")))
     bad = stored(hit.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct(), "hit")

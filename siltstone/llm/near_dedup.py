@@ -46,6 +46,8 @@ BUCKET_BLOCK = 1024
 REPRESENTATIVES = 16
 #: Candidates of the frequent shingles that one pass counts; further ones take further passes.
 SLICE = 2_000_000
+#: Shingles of a block of documents that are counted together, 8 bytes each.
+HELD = 2_000_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 17
 #: Ids that may be broadcast, 8 bytes each.
@@ -109,7 +111,7 @@ def frequent(documents: DataFrame, n: int, share: float = IDF_FULL) -> dict[int,
         for batch in batches:
             held.append(shingles(*raw(batch))[0])
             docs, size = docs + batch.num_rows, size + len(held[-1])
-            if size >= 8_000_000:  # 64 MB of hashes
+            if size >= HELD:
                 yield block()
                 held, docs, size = [], 0, 0
         if docs:
