@@ -1,8 +1,10 @@
 """Operator 2: main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks at block-level tags. Two costs of each block, as content and as boilerplate, come from a
-log-linear classifier over its tag, its ancestors, their class, id and role names, its length and its share of link text;
-they are the capacities of its terminal edges. Neighbouring blocks, and blocks that are near in the element tree, are joined
+log-linear classifier; they are the capacities of its terminal edges. What its ancestors and their class, id and role names
+say has fixed weights. The weights of the block's own features (kind of tag, length, share of link text) are learned from a
+bounded sample of the pages themselves: blocks whose ancestors leave little doubt are the weak labels, and a Gaussian prior
+around PRIOR keeps the weights near it where the sample says little (all of PRIOR, if there are no such blocks of both kinds). Neighbouring blocks, and blocks that are near in the element tree, are joined
 by smoothness edges. The minimum cut of that graph, found by maximum flow, labels the blocks; content blocks are joined in
 page order by one space.
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import column, table, tuned
+from siltstone.llm.common import column, sigmoid, table, tuned, uniform
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -57,8 +59,12 @@ COMMENT_NAMES = frozenset("comment comments reply replies".split())
 HIDDEN_CLASSES = frozenset("hidden is-hidden screen-reader-text sr-only visually-hidden".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post story text".split())
 
-# Weights of the classifier: log odds for content.
-BIAS, CONTENT_TAG, CONTENT_NAME, PARAGRAPH, HEADING, LENGTH, LINKS, HEADER = -1.0, 4.0, 2.0, 1.0, 0.5, 0.5, -5.0, -3.0
+# Weights of what ancestors say: log odds for content.
+CONTENT_TAG, CONTENT_NAME, HEADER = 4.0, 2.0, -3.0
+#: Prior weights of a block's own features: 1, a paragraph's tag, h1 or h2, log(1 + characters / 20) up to 4, share of link text.
+PRIOR = np.array([-1.0, 1.0, 0.5, 0.5, -5.0])
+#: Precision of the prior against the mean loss of the weak labels.
+PRECISION = 0.25
 # Of elements of boilerplate: by tag, by a whole name and by a name's part, of small forms, and the least of all ancestors.
 BOILER_TAG, BOILER_NAME, BOILER_PART, FORM, LEAST = -8.0, -4.0, -2.5, -4.0, -10.0
 #: What stays of content around boilerplate, and of boilerplate around content.
@@ -71,11 +77,30 @@ SMOOTH, PROXIMITY = 0.8, 0.4
 UNSEEN = "(hidden)"
 
 
+class Node:
+    """An element's place in the tree: its parent and how many elements it is within, itself included."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Node | None = None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 1
+
+    def shared(self, other: Node) -> int:
+        """Elements that both are within."""
+        a, b = self, other
+        while a is not b:
+            if a.depth >= b.depth:
+                a = a.parent
+            else:
+                b = b.parent
+        return a.depth
+
+
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "hidden", "context", "forms")
+    __slots__ = ("text", "links", "tag", "node", "hidden", "context", "forms")
 
-    def __init__(self, tag, path, hidden, context, forms):
-        self.text, self.links, self.tag, self.path = [], 0, tag, path
+    def __init__(self, tag, node, hidden, context, forms):
+        self.text, self.links, self.tag, self.node = [], 0, tag, node
         self.hidden, self.context, self.forms = hidden, context, forms
 
     @property
@@ -145,7 +170,7 @@ def hidden(attributes: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order, with white space still in pieces."""
-    stack: list[tuple] = [("", 0, False, Context(), ())]  # tag, number, hidden, context, numbers of forms
+    stack: list[tuple] = [("", Node(), False, Context(), ())]  # tag, node, hidden, context, numbers of forms
     made, links, out, current, at = 0, 0, [], None, 0
 
     def add(piece: str) -> None:
@@ -153,8 +178,7 @@ def blocks(page: str) -> list[Block]:
         if not piece:
             return
         if current is None:
-            tag, _, unseen, context, forms = stack[-1]
-            current = Block(tag, tuple(x[1] for x in stack), unseen, context, forms)
+            current = Block(*stack[-1])
             out.append(current)
         current.text.append(piece)
         if links:
@@ -222,7 +246,7 @@ def blocks(page: str) -> list[Block]:
                 forms = (*forms, made)
             elif name in CONTENT_TAGS:
                 forms = ()
-            stack.append((name, made, unseen, context.within(name, whole, parts, ends), forms))
+            stack.append((name, Node(stack[-1][1]), unseen, context.within(name, whole, parts, ends), forms))
     add(page[at:])
     return out
 
@@ -257,18 +281,57 @@ class _Scan:
         return _Match(m, self)
 
 
-def log_odds(block: Block, text: str) -> float:
+def own_features(block: Block, text: str) -> list[float]:
+    return [1.0, float(block.tag in PARAGRAPHS), float(block.tag in ("h1", "h2")), min(4.0, float(np.log1p(len(text) / 20))), min(1.0, block.links / max(1, len(text)))]
+
+
+def log_odds(block: Block, text: str, weights: np.ndarray = PRIOR) -> float:
     """For content; -HARD for what is hidden."""
     if block.hidden:
         return -HARD
-    score = BIAS + block.context.odds() + (FORM if block.forms else 0.0) + LENGTH * min(4.0, float(np.log1p(len(text) / 20)))
-    if block.tag in PARAGRAPHS:
-        score += PARAGRAPH
-    if block.tag in ("h1", "h2"):
-        score += HEADING
-    elif block.context.header:  # a page's or an article's header, but for headings
+    score = float(weights @ own_features(block, text)) + block.context.odds() + (FORM if block.forms else 0.0)
+    if block.context.header and block.tag not in ("h1", "h2"):  # a page's or an article's header, but for headings
         score += HEADER * (3 if not block.context.content else 1.5)
-    return score + LINKS * min(1.0, block.links / max(1, len(text)))
+    return score
+
+
+def learned(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Weights of the least mean logistic loss, both labels counting alike, plus the prior's cost; by Newton's method."""
+    if not len(y) or y.min() == y.max():
+        return PRIOR
+    share, w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y), PRIOR.copy()
+    cost = lambda v: float((share * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v))).sum() + PRECISION / 2 * ((v - PRIOR) ** 2).sum())
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w)), x.T @ (share * (p - y)) + PRECISION * (w - PRIOR))
+        size = 1.0
+        while size > 1e-6 and cost(w - size * step) > cost(w):
+            size /= 2
+        w = w - size * step
+    return w
+
+
+def fit(pages: DataFrame, most: int = 2000, seed: int = 13) -> np.ndarray:
+    """The weights of the blocks' own features, from about `most` pages drawn by a hash of the id."""
+    rows = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    drawn = rows.where(uniform("page_id", seed) < min(1.0, most / max(1, rows.count()))).select(F.col("page_id").cast("long"), "html")
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, page in zip(column(batch, "page_id").to_pylist(), column(batch, "html").to_pylist()):
+                for b in blocks(page):
+                    odds, text = b.context.odds(), " ".join(entities.unescape("".join(b.text)).split())
+                    if text and not b.hidden and not b.forms and abs(odds) >= -SURE:
+                        found.append((i, float(odds > 0), own_features(b, text)))
+            cols = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.float64()))], ["page_id", "y", "x"])
+
+    got = drawn.mapInArrow(labelled, "page_id long, y double, x array<double>")
+    sums = got.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).collect()  # different feature vectors of a bounded sample
+    sums.sort(key=lambda r: (r["y"], r["x"]))
+    x, y, n = np.array([r["x"] for r in sums]).reshape(-1, len(PRIOR)), np.array([r["y"] for r in sums]), np.array([r["n"] for r in sums], dtype=int)
+    return learned(np.repeat(x, n, axis=0), np.repeat(y, n))
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -313,12 +376,12 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours, the stronger the more of their ancestors they share, and between blocks of one parent."""
     edges, last = [], {}
     for i, b in enumerate(found):
-        parent = b.path[:-1]
+        parent = b.node.parent
         if i:
-            a = found[i - 1].path
-            shared = sum(1 for x, y in zip(a, b.path) if x == y)
+            a = found[i - 1].node
+            shared = a.shared(b.node)
             sure = found[i - 1].boiler != b.boiler  # an advert between two paragraphs says little about them
-            edges.append((i - 1, i, SMOOTH * shared / max(len(a), len(b.path)) * (0.25 if sure else 1.0)))
+            edges.append((i - 1, i, SMOOTH * shared / max(a.depth, b.node.depth) * (0.25 if sure else 1.0)))
         if parent in last and last[parent] < i - 1 and found[last[parent]].boiler == b.boiler:
             edges.append((last[parent], i, PROXIMITY))
         last[parent] = i
@@ -338,7 +401,7 @@ def unwrap(found: list[Block], texts: list[str]) -> None:
         b.forms = tuple(f for f in b.forms if 2 * held.get(f, 0) <= total)
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     if not page:
         return ""
     found = blocks(page)
@@ -349,20 +412,21 @@ def main_text(page: str | None) -> str:
     found, texts = [found[i] for i in keep], [texts[i] for i in keep]
     if any(b.forms for b in found):
         unwrap(found, texts)
-    side = minimum_cut([log_odds(b, t) for b, t in zip(found, texts)], smoothness(found))
+    side = minimum_cut([log_odds(b, t, weights) for b, t in zip(found, texts)], smoothness(found))
     return " ".join(t for t, s in zip(texts, side) if s)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, weights: np.ndarray = PRIOR) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in column(batch, "html").to_pylist()]
+            texts = [main_text(x, weights) for x in column(batch, "html").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return extracted(table(tuned(spark), sf_dir, "pages"))
+    pages = table(tuned(spark), sf_dir, "pages")
+    return extracted(pages, fit(pages))

@@ -93,6 +93,25 @@ def prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05) ->
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
+def risk(p: np.ndarray, u: np.ndarray, pi: float, w: np.ndarray, b: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk under logistic loss: of positives, and of negatives as the unlabelled have it less
+    what positives make of that. Their sum is the risk; the non-negative one counts the second as 0 where it is negative."""
+    zp, zu = p @ w + b, u @ w + b
+    return pi * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - pi * float(np.logaddexp(0, zp).mean())
+
+
+def step(p: np.ndarray, u: np.ndarray, pi: float, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Derivatives by w and b of what a step descends: the risk, or the negatives' part turned around where it is negative
+    (overfitted: climb back)."""
+    zp, zu = p @ w + b, u @ w + b
+    gp_plus, gp_minus, gu_minus = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if risk(p, u, pi, w, b)[1] >= 0:
+        gp, gu = pi * gp_plus - pi * gp_minus, gu_minus
+    else:
+        gp, gu = pi * gp_minus, -gu_minus
+    return p.T @ gp + u.T @ gu, gp.sum() + gu.sum()
+
+
 def learn(x_p: np.ndarray, x_u: np.ndarray, steps: int = 200) -> tuple[Additive | None, float]:
     """The classifier and the prior from features of positives and unlabelled texts."""
     if len(x_p) < 5 or len(x_u) < 5:
@@ -108,18 +127,8 @@ def learn(x_p: np.ndarray, x_u: np.ndarray, steps: int = 200) -> tuple[Additive
     model.train(first, steps // 2)
     pi = prior(p[~odd_p] @ model.w + model.b, u[~odd_u] @ model.w + model.b)
 
-    def risk(w, b):
-        zp, zu = p @ w + b, u @ w + b
-        gp_plus, gp_minus, gu_minus = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        negative = np.logaddexp(0, zu).mean() - pi * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            gp, gu = pi * gp_plus - pi * gp_minus, gu_minus
-        else:  # overfitted: climb back
-            gp, gu = pi * gp_minus, -gu_minus
-        return p.T @ gp + u.T @ gu, gp.sum() + gu.sum()
-
     model.w, model.b = np.zeros_like(model.w), float(np.log(pi / (1 - pi)))
-    model.train(risk, steps)
+    model.train(lambda w, b: step(p, u, pi, w, b), steps)
     return model, pi
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.boosting import Isotonic, Trees
-from siltstone.llm.common import column, held_out, labelled_sample, remainder, table, tuned
+from siltstone.llm.common import column, held_out, labelled_sample, remainder, stored, table, tuned
 
 #: Insults that are in the lexicon from the start.
 INSULTS = frozenset("clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split())
@@ -134,7 +134,8 @@ def fit(documents: DataFrame, labels: DataFrame, train, most: int = 16_000, seed
     If the last part has fewer than `few` rows or one label only, calibration is learned out of fold instead, from the rows of
     both parts: each is scored by trees that haven't seen it, and all of them then make the trees. Only where these rows are of
     one label, so that there is nothing to learn, the trees' constant score stays uncalibrated."""
-    rows = labelled_sample(documents, labels, "toxic", train, most, seed).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(8)))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(8))
+    rows = stored(labelled_sample(documents, labels, "toxic", train, most, seed).withColumn("part", part), "labelled")  # read three times
     lex = lexicon(rows.where("part < 4"))
     shared = documents.sparkSession.sparkContext.broadcast(lex)
 

@@ -44,6 +44,20 @@ def test_codewords_are_apart():
         assert n < 7 or min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 3
 
 
+def test_language_decoding_is_the_nearest_codeword():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc "), 40)) for _ in range(30)] + ["".join(rng.choice(list("xyz "), 40)) for _ in range(30)] + ["".join(rng.choice(list("klm "), 40)) for _ in range(30)]
+    y = np.repeat([0, 1, 2], 30)
+    model = language_id.Model(["a", "b", "c"], language_id.features(texts), y, steps=20)
+    pred, score, unsure = model.predict(texts, 0.05)
+    x = language_id.features(texts)
+    for i in range(0, 90, 7):
+        margin = [float(x[i] @ model.w[:, k] + model.b[k]) for k in range(model.code.shape[1])]
+        loss = [sum(model.weight[c, k] * np.log1p(np.exp(-margin[k] * model.code[c, k])) for k in range(len(margin))) for c in range(3)]
+        assert model.languages[int(np.argmin(loss))] == pred[i] and 1 / 3 <= score[i] <= 1
+        assert unsure[i] == (sorted(loss)[1] - sorted(loss)[0] < 0.05)
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     rng = random.Random(1)
     kinds = {"aa": "abcde ", "bb": "fghij", "cc": "klmnoé"}
@@ -127,6 +141,32 @@ def test_minimum_cut_is_minimal():
         assert abs(cost(html_extract.minimum_cut(odds, edges)) - best) < 1e-9
 
 
+def test_html_weights_are_learned_near_their_prior(spark):
+    x = np.array([[1, 1, 0, 3.0, 0.0], [1, 0, 0, 0.5, 0.0], [1, 1, 0, 0.2, 0.9]])
+    w = html_extract.learned(np.repeat(x, [50, 40, 10], axis=0), np.repeat([1.0, 0.0, 0.0], [50, 40, 10]))
+    assert w[3] > html_extract.PRIOR[3] and np.abs(w - html_extract.PRIOR).max() < 2
+    step = 1e-5  # the gradient of the penalised loss vanishes
+    y, share = np.repeat([1.0, 0.0, 0.0], [50, 40, 10]), np.repeat(0.005, 100)
+    many = np.repeat(x, [50, 40, 10], axis=0)
+    cost = lambda v: (2 * share * np.logaddexp(0, np.where(y > 0, -1, 1) * (many @ v))).sum() + html_extract.PRECISION / 2 * ((v - html_extract.PRIOR) ** 2).sum()
+    for k in range(5):
+        d = np.eye(5)[k] * step
+        assert abs(cost(w + d) - cost(w - d)) / (2 * step) < 1e-3
+    assert (html_extract.learned(x, np.ones(3)) == html_extract.PRIOR).all() and (html_extract.learned(np.zeros((0, 5)), np.zeros(0)) == html_extract.PRIOR).all()
+    page = "<nav><a href=x>Home</a></nav><div class=ad>Buy now</div><article><p>%s</p><p>Short.</p></article><footer>All rights</footer>" % ("Some words of an article. " * 8)
+    pages = spark.createDataFrame([(i, page) for i in range(40)] + [(None, page), (50, None)], "page_id long, html string")
+    w = html_extract.fit(pages)
+    assert (w != html_extract.PRIOR).any() and html_extract.main_text(page, w) == html_extract.main_text(page)
+    assert (html_extract.fit(pages.limit(0)) == html_extract.PRIOR).all()
+
+
+def test_html_of_deep_trees():
+    deep = "<div>" * 20_000 + "<p>one</p>" * 2000
+    assert len(html_extract.blocks(deep)) == 2000 and html_extract.blocks(deep)[0].node.depth == 20_002
+    a, b = (x.node for x in html_extract.blocks("<div><section><p>x</p></section><p>y</p></div>"))
+    assert a.shared(b) == b.shared(a) == 2 and a.shared(a) == 4
+
+
 def test_html_rows(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>Some long enough text is here.</p></article>", 5), (None, None, None, 6), (1, "u", "", 7)], "page_id long, url string, html string, n_chars int")
     got = html_extract.extracted(p).collect()
@@ -146,6 +186,20 @@ def test_trees_and_isotonic():
     assert iso.predict(np.array([0.0, 1, 2.5, 4, 9])).tolist() == [0.0, 0.0, 0.5, 1.0, 1.0]
 
 
+def test_the_first_split_of_trees_has_the_largest_gain():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 1] + 0.3 * rng.normal(size=200) > 0.4).astype(float)
+    t = boosting.Trees(rounds=1, depth=1, bins=8, least=1.0).fit(x, y)
+    g, h = y - y.mean(), np.full(200, y.mean() * (1 - y.mean()))
+    gain = lambda left: sum(g[m].sum() ** 2 / (h[m].sum() + t.l2) for m in (left, ~left))
+    best = max((gain(x[:, f] <= c), f, float(c)) for f in range(3) for c in t.edges[f])
+    feature, cut, value = t.trees[0]
+    assert (feature[0][0], cut[0][0]) == best[1:]
+    right = x[:, best[1]] > best[2]
+    assert np.allclose(value, [t.rate * g[m].sum() / (h[m].sum() + t.l2) for m in (~right, right)])
+
+
 def test_toxicity_held_out_and_edges(spark):
     rng = random.Random(2)
     texts, y = [], []
@@ -179,6 +233,23 @@ def test_toxicity_is_calibrated_when_labels_are_few(spark):
     assert toxicity.fit(d, labels.where("toxic = 0"), F.lit(True)).calibration is None
 
 
+def test_steps_follow_the_non_negative_risk():
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    seen = set()
+    for pi, scale in ((0.3, 0.1), (0.9, 3.0), (0.5, 1.0)):
+        w, b = rng.normal(size=3) * scale, 0.2
+        gw, gb = quality.step(p, u, pi, w, b)
+        _, negative = quality.risk(p, u, pi, w, b)
+        seen.add(negative >= 0)
+        descended = lambda w, b: sum(quality.risk(p, u, pi, w, b)) if negative >= 0 else -quality.risk(p, u, pi, w, b)[1]  # noqa: B023, E731
+        for k in range(3):
+            d = np.eye(3)[k] * 1e-6
+            assert abs((descended(w + d, b) - descended(w - d, b)) / 2e-6 - gw[k]) < 1e-4
+        assert abs((descended(w, b + 1e-6) - descended(w, b - 1e-6)) / 2e-6 - gb) < 1e-4
+    assert True in seen
+
+
 def test_quality_held_out_prior_and_edges(spark):
     rng = random.Random(4)
     good = [words_of(rng, "abcdefghijklm", rng.randint(20, 90)) + "." for _ in range(300)]
