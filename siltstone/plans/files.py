@@ -26,19 +26,27 @@ def _lines(t, df, label: str) -> str:
 
 def _ids(t):
     """Wanted ids: the parts of even size."""
-    return t.part.where("p_size % 2 = 0").select(F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("id"))
+    return t.part.where("p_size % 2 = 0").select(_acc().alias("id"))
 
 
 _ACC = "'P' || lpad(CAST(p_partkey AS VARCHAR), 5, '0')"
-ACC = F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
 _LETTERS = "translate(upper(p_name), ' #_0123456789', 'ACGTACGTACGTA')"
-LETTERS = F.translate(F.upper("p_name"), " #_0123456789", "ACGTACGTACGTA")
+
+
+def _acc():
+    """A part's accession."""
+    return F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
+
+
+def _letters():
+    """A sequence spelled from a part's name."""
+    return F.translate(F.upper("p_name"), " #_0123456789", "ACGTACGTACGTA")
 
 
 def _fasta(t) -> str:
     """FASTA of the parts, lines of 10 residues."""
-    header = F.concat(F.lit("sp|"), ACC, F.lit("|"), F.upper("p_brand"), F.lit(" "), "p_type", F.lit(" OS=Homo sapiens OX="), F.col("p_size").cast("string"), F.lit(" GN="), F.translate("p_brand", "#", "x"))
-    return _lines(t, sinks.as_fasta(t.part.select(header.alias("h"), LETTERS.alias("s")), "h", "s", 10), "fasta")
+    header = F.concat(F.lit("sp|"), _acc(), F.lit("|"), F.upper("p_brand"), F.lit(" "), "p_type", F.lit(" OS=Homo sapiens OX="), F.col("p_size").cast("string"), F.lit(" GN="), F.translate("p_brand", "#", "x"))
+    return _lines(t, sinks.as_fasta(t.part.select(header.alias("h"), _letters().alias("s")), "h", "s", 10), "fasta")
 
 
 @query(f"SELECT 'sp|' || {_ACC} || '|' || upper(p_brand) || ' ' || p_type || ' OS=Homo sapiens OX=' || p_size || ' GN=' || translate(p_brand, '#', 'x') AS header, {_LETTERS} AS sequence FROM part WHERE {_LETTERS} <> ''")
@@ -121,7 +129,7 @@ def reactome_pathways(t):
     """Six-column pathway mapping of wanted ids; short lines go."""
     path = F.concat(F.lit("R-HSA-"), F.col("l_suppkey").cast("string"))
     line = F.concat_ws("\t", F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")), path, F.concat(F.lit("http://r/"), path), F.lit("a name"), F.lit("TAS"), F.lit("Homo sapiens"))
-    rows = t.lineitem.select(line.alias("value")).unionByName(t.part.select(F.concat(ACC, F.lit("\tR-HSA-0\tshort")).alias("value")))
+    rows = t.lineitem.select(line.alias("value")).unionByName(t.part.select(F.concat(_acc(), F.lit("\tR-HSA-0\tshort")).alias("value")))
     return readers.reactome(t.spark, _lines(t, rows, "reactome"), _ids(t)).drop("name")
 
 
@@ -188,7 +196,7 @@ an AS (SELECT DISTINCT 'P' || lpad(CAST(l_partkey AS VARCHAR), 5, '0') AS access
 
 
 def _proteins(t):
-    return t.part.select(ACC.alias("accession"), F.col("p_name").alias("name"), LETTERS.alias("sequence"))
+    return t.part.select(_acc().alias("accession"), F.col("p_name").alias("name"), _letters().alias("sequence"))
 
 
 def _annotations(t):
@@ -216,9 +224,9 @@ def typed_proteins(t):
 def id_mapping(t):
     """Three-column mapping lines of one kind for wanted ids, with the number of malformed lines."""
     size = F.col("p_size").cast("string")
-    good = t.part.select(F.concat_ws("\t", ACC, F.lit("UniRef50"), F.concat(F.lit("U"), size)).alias("value"))
-    other = t.part.select(F.concat_ws("\t", ACC, F.lit("Gene"), size).alias("value"))
-    bad = t.part.where("p_size % 5 = 0").select(F.concat(ACC, F.lit("\tUniRef50")).alias("value"))
+    good = t.part.select(F.concat_ws("\t", _acc(), F.lit("UniRef50"), F.concat(F.lit("U"), size)).alias("value"))
+    other = t.part.select(F.concat_ws("\t", _acc(), F.lit("Gene"), size).alias("value"))
+    bad = t.part.where("p_size % 5 = 0").select(F.concat(_acc(), F.lit("\tUniRef50")).alias("value"))
     rows, n = readers.id_mapping(t.spark, _lines(t, good.unionByName(other).unionByName(bad), "idmapping"), _ids(t), "UniRef50")
     return rows.crossJoin(F.broadcast(n))
 
@@ -370,7 +378,7 @@ def pending_imports(t):
 @query(f"""WITH {_NODES}, {_EDGES} SELECT 'documents' AS part, count(*) AS n FROM part UNION ALL SELECT 'entities', count(*) FROM nodes UNION ALL SELECT 'relations', count(*) FROM edges""")
 def bundle_counts(t):
     """The checked tables of an application bundle."""
-    d = t.part.select(ACC.alias("accession"), F.col("p_name").alias("text"))
+    d = t.part.select(_acc().alias("accession"), F.col("p_name").alias("text"))
     parts = sinks.bundle(d, star_nodes(t), star_edges(t), t.supplier.select(F.col("s_name").alias("accession")))
     out = None
     for name, df in zip(("documents", "entities", "relations"), parts):
