@@ -12,7 +12,9 @@ Scripts, styles, navigation and hidden elements are hard terminals. All other si
 boilerplate count against a block, by whole class and less by a class's first or last part, and an article, main or content
 element inside such an element outweighs it. The text of <math> stays, but for annotations, which no browser shows. A form that holds most of the page's text is a wrapper and costs nothing. Null and empty
 pages give an empty text, as do pages without content blocks. Markup may be broken: stray end tags are skipped, unclosed
-elements end with their parents, but for raw text (scripts, styles, titles, text areas, frames), which ends with the page. Each row gives one row; null ids and urls are passed through."""
+elements end with their parents, but for raw text (scripts, styles, titles, text areas, frames), which ends with the page. Each row
+gives one row, repeated ones too; null ids and urls are passed through. Very long and deeply nested pages are read whole. Further
+columns aren't read; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -4,8 +4,10 @@ Every learned language has a codeword of bits. For each bit a linear classifier
 lower-cased text is trained to predict it (logistic loss); a text's language is the codeword of the least weighted loss,
 each bit counting by how well it was learned for that language. Two codewords about equally near flag ambiguity.
 
-Texts that are null or hold no letter, and all texts where no language could be learned, get `und` and score 0. Null
-languages, empty tables, repeated rows and further columns are allowed; rows are neither dropped nor merged."""
+Texts that are null or hold no letter, and all texts where no language could be learned, get `und` and score 0. Rows with null
+languages, texts or ids are predicted but not learned from. Whole texts are read, very long ones too, one at a time. Of
+languages at equal loss the first by name is predicted, and the row is ambiguous. Repeated rows each get a row; further columns,
+whatever they are called, aren't read, and stay as they are in the stage; empty tables give no rows."""
 
 from __future__ import annotations
 

@@ -10,7 +10,10 @@ texts ranks both, and pi is the least ratio, over score thresholds, of the unlab
 above, each with its sampling error. Negative labels are not used.
 
 Null and empty texts are scored as texts without words. Without positives or unlabelled texts every score is the prior
-0.5. Each row of documents gives one row."""
+0.5. Each row of documents gives one row, also rows of repeated or null
+ids; null ids are not learned from and never held out. Whole texts are read, very long ones too, one at a time. Of several
+labels of one id the largest counts; others than 0 and 1 don't. A score at the threshold counts as reached. Further columns,
+whatever they are called, aren't read; empty tables give no rows."""
 
 from __future__ import annotations
 

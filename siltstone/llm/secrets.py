@@ -8,7 +8,10 @@ Other runs are split at their separators, and each stretch of parts whose own ra
 two letters tell nothing and are left out of both; runs and parts that are known digests (hex of a digest's length) or UUIDs
 are not added, nor are spans that overlap a base span. Spans are of whole matches or stretches, in code points, end exclusive.
 
-Null texts count as empty. Every row gives one row; ids are passed through, null ones too."""
+Null texts count as empty. Every row gives one row; ids are passed through, null and repeated ones too. Whole texts are read, very
+long ones too; time grows with a text's length and its spans, not their square. Base spans of several kinds may overlap and all
+stay. Further columns, whatever they are called, aren't read by the scan, and stay as they are when secrets are blanked out, but
+for n_chars, which follows the text. Empty tables give no rows."""
 
 from __future__ import annotations
 

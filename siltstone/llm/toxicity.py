@@ -6,7 +6,10 @@ second-person pronouns, hits written with look-alike characters, capitals, punct
 trees and calibration learn from separate parts of the labelled training rows, drawn by a hash of the id.
 
 Null and empty texts are scored as texts without words. Without labels of both kinds every score is the share of toxic
-labels (0.5 without labels). Each row of documents gives one row."""
+labels (0.5 without labels). Each row of documents gives one row, also rows of repeated or null
+ids; null ids are not learned from and never held out. Whole texts are read, very long ones too, one at a time. Of several
+labels of one id the largest counts; others than 0 and 1 don't. A score at the threshold counts as reached. Further columns,
+whatever they are called, aren't read; empty tables give no rows."""
 
 from __future__ import annotations
 
