@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.operators.text_search import top
+from siltstone.sources.shared import stored
 
 
 def bucket(c: Column, buckets: int = 100) -> Column:
@@ -54,14 +55,25 @@ def eligible(pairs: DataFrame, item: str, label: str, low: int, high: int) -> Da
     return pairs.select(item, label).distinct().join(df.select(label), label, "left_semi")
 
 
-def held_out(pairs: DataFrame, item: str, label: str, target: int, low: int, high: int, seed: str) -> DataFrame:
-    """Up to `target` items in hash order, such that no label loses all its items: at most one of each label is taken.
-
-    A label's first item in hash order may be taken; an item is, if it comes first for all its eligible labels."""
-    rows = eligible(pairs, item, label, low, high).withColumn("_h", order_key(F.col(item), seed))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", item)))
-    chosen = first.groupBy(item, "_h").agg(F.max("_n").alias("worst")).where("worst = 1")
-    return chosen.orderBy("_h", item).limit(target).select(item)
+def held_out(pairs: DataFrame, item: str, label: str, target: int, low: int, high: int, seed: str, rounds: int = 8) -> DataFrame:
+    """Up to `target` items, such that no eligible label loses all its items.
+
+    In each round an item is taken if it comes first in hash order for all its labels among the items left, and each of these
+    labels has a further item left. Rounds go on until there are enough, none is found, or `rounds` are over; earlier rounds
+    come first, then the hash. A round is one pass over the pairs that are left, which are stored."""
+    left = stored(eligible(pairs, item, label, low, high).withColumn("_h", order_key(F.col(item), seed)), "eligible")
+    taken, n = None, 0
+    for k in range(rounds):
+        spread = left.groupBy(label).agg(F.count(F.lit(1)).alias("_left"))
+        first = left.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", item))).join(spread, label)
+        good = first.groupBy(item, "_h").agg(F.max("_n").alias("worst"), F.min("_left").alias("least")).where("worst = 1 AND least > 1")
+        chosen = stored(good.select(item, "_h", F.lit(k).alias("_round")), "chosen")
+        found = chosen.count()
+        taken, n = chosen if taken is None else taken.unionByName(chosen), n + found
+        if not found or n >= target or k == rounds - 1:
+            break
+        left = stored(left.join(chosen.select(item), item, "left_anti"), "eligible")
+    return taken.orderBy("_round", "_h", item).limit(target).select(item)
 
 
 def ground_truth(pairs: DataFrame, held: DataFrame, item: str, label: str) -> DataFrame:
