@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def clean(c: Column, stop: bool = True) -> Column:
     """Upper-case letters, and * where stops are allowed."""
-    return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\p{L}*]" if stop else r"[^\p{L}]", "")
+    return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\p{L}*]+" if stop else r"[^\p{L}]+", "")
 
 
 def reverse_complement(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
+from siltstone.sources.shared import spread
 
 K1, B = 1.2, 0.75
 
@@ -74,7 +75,7 @@ def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_c
     of query and document is shuffled, only k rows a query and task. A first pass counts lengths and document frequencies."""
     from siltstone.operators import blocks
 
-    toks = docs.select(F.col(id_col), tokens(text).alias("t"))
+    toks = spread(docs).select(F.col(id_col), tokens(text).alias("t"))
     asked = queries.select(F.col(query_col), tokens(query_text).alias("t"))
     number: dict[str, int] = {}
 
@@ -138,7 +139,7 @@ def kmer_jaccard(docs: DataFrame, id_col: str, text: Column, queries: DataFrame,
             yield a, np.round(both / np.maximum(1, n[:, None] + block.sizes[None] - both), 6)
 
     parts = [(block, scored) for block in blocks.blocks(read())]
-    return blocks.top_k(docs.select(F.col(id_col), text.alias("t")), id_col, parts, query_col, queries.schema[query_col].dataType, k)
+    return blocks.top_k(spread(docs).select(F.col(id_col), text.alias("t")), id_col, parts, query_col, queries.schema[query_col].dataType, k)
 
 
 def like_search(df: DataFrame, words: list[str], cols: list[str], order: list, limit: int) -> DataFrame:

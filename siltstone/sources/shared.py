@@ -63,3 +63,14 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "row_idx") ->
 def file_order() -> Column:
     """A row's place in its source: file, block, and place in the block's task. For columns of a file scan."""
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+#: Scan tasks of an input that may be dealt anew; each reads some 128 MB at most.
+SMALL = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, of fewer scan tasks than there are cores (and than SMALL), dealt to all cores; larger inputs stay as they
+    are scanned, so that no more than a few GB are ever shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL) else df
