@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.shared import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 class Tables:
-    """Tables of a folder by name, read when asked for."""
+    """Tables of a folder by name, read when asked for; those of long texts are dealt to all cores if they are small."""
+
+    LONG_TEXTS = ("documents", "pages")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in self.LONG_TEXTS else df
 
 
 def query(sql: str | None = None):
