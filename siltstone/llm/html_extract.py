@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,6 +174,12 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order, with white space still in pieces."""
     stack: list[tuple] = [("", Node(), False, Context(), ())]  # tag, node, hidden, context, numbers of forms
     made, links, out, current, at = 0, 0, [], None, 0
+    held: Counter = Counter()  # open elements by tag, so that a stray end tag needs no search
+    drawings: list[int] = []  # places of drawings and of HTML in them; some may be gone from the stack
+
+    def close(k: int) -> None:
+        held.subtract(x[0] for x in stack[k:])
+        del stack[k:]
 
     def add(piece: str) -> None:
         nonlocal current
@@ -211,18 +217,20 @@ def blocks(page: str) -> list[Block]:
             if not m[1] and not _EMPTY.search(m[3] or "") and (end := _ANNOTATION_END.search(page, at)):
                 at = m.scan.at = end.start()
             continue
-        drawing = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("svg", "foreignobject")), 0)
+        while drawings and (drawings[-1] >= len(stack) or stack[drawings[-1]][0] not in ("svg", "foreignobject")):
+            drawings.pop()
+        drawing = drawings[-1] if drawings else 0
         if drawing and stack[drawing][0] == "foreignobject":
             drawing = 0
         current = None
         if (drawing or name == "svg") and not m[1] and _EMPTY.search(m[3] or ""):
             continue
         if drawing and not m[1] and (name in ENDS_P or name in ("body", "li", "dd", "dt")):  # ends a drawing that isn't closed
-            del stack[drawing:]
+            close(drawing)
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held[name] > 0 else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     links = 0
                     break
         elif name in RAW:
@@ -230,14 +238,12 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             m.scan.at = at
         elif name not in VOID:
-            if name in ENDS_P and stack[-1][0] == "p":
-                stack.pop()
-            elif name == "li" and stack[-1][0] == "li":
-                stack.pop()
+            if name in ENDS_P and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
+                close(len(stack) - 1)
             if name == "body":  # ends the head, closed or not
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if held["head"] > 0 else ():
                     if stack[k][0] == "head":
-                        del stack[k:]
+                        close(k)
                         break
             _, _, unseen, context, forms = stack[-1]
             attributes = m[3] or ""
@@ -248,6 +254,9 @@ def blocks(page: str) -> list[Block]:
                 forms = (*forms, made)
             elif name in CONTENT_TAGS:
                 forms = ()
+            if name in ("svg", "foreignobject"):
+                drawings.append(len(stack))
+            held[name] += 1
             stack.append((name, Node(stack[-1][1]), unseen, context.within(name, whole, parts, ends), forms))
     add(page[at:])
     return out
