@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from siltstone.operators import graphs, pairs, text_search
+from siltstone.operators import graphs, knowledge, pairs, text_search
 
 
 @pytest.mark.parametrize("lot", [2048, 3])
@@ -52,3 +52,22 @@ def test_graph_scores_of_one_label_are_dealt_to_all_cores(spark, monkeypatch):
     got = text_search.graph_scores(asked, spark.createDataFrame([("t", "l", 0.01, 1.0, 1.0)], "token string, label string, q double, odds_ratio double, idf double"), docs)
     sizes = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(sizes) == 160_000 and max(sizes) < 80_000
+
+
+def test_term_counts_against_the_pairs(spark):
+    rng = random.Random(7)
+    xref = [(f"g{rng.randrange(30)}", rng.choice(["has_a", "has_b"]), f"h{rng.randrange(9)}") for _ in range(50)] + [("g1", "has_a", None)]
+    terms = [(f"g{rng.randrange(36)}", "is", f"t{rng.randrange(40)}") for _ in range(60)] + [("g2", "is", None), ("g40", "is", "t1"), ("lost", "is", "t2")]
+    edges = spark.createDataFrame(xref + terms, "source_entity_id string, relation_type string, target_entity_id string")
+    nodes = spark.createDataFrame([(f"g{i}",) for i in range(41)], "entity_id string")
+    want = {r["node"]: r["count"] for r in knowledge.terms_over_xrefs(nodes, edges, "is").groupBy("node").count().collect()}
+    got = knowledge.term_counts_over_xrefs(nodes, edges, "is").collect()
+    assert len(got) == len(want) and {r["node"]: r["terms"] for r in got} == want
+
+
+def test_term_counts_beyond_one_bitmap(spark):
+    """40,000 terms over one hub: more than the 32,768 bits of one."""
+    has = spark.range(40_000).selectExpr("concat('g', id % 50) AS source_entity_id", "'is' AS relation_type", "concat('t', id) AS target_entity_id")
+    hub = spark.range(50).selectExpr("concat('g', id) AS source_entity_id", "'has_a' AS relation_type", "'h' AS target_entity_id")
+    got = knowledge.term_counts_over_xrefs(hub.selectExpr("source_entity_id AS entity_id"), has.unionByName(hub), "is").collect()
+    assert len(got) == 50 and {r["terms"] for r in got} == {40_000}
