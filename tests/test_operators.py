@@ -174,3 +174,9 @@ def test_streaming_ingest_is_resumable(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.records(spark, src, schema), out, state).awaitTermination(120)
     assert rows(spark.read.parquet(out), "record_id") == [("a",), ("b",)]
+
+
+def test_paths_have_a_total_order(spark):
+    e = spark.createDataFrame([(1, x, 5) for x in "dcba"] + [(1, "z", 1)], "query_id int, entity_id string, ord long").coalesce(1)
+    c = spark.createDataFrame([(1, "a", "E5")], "query_id int, entity_id string, citation string")
+    assert rows(graphs.paths(e, c), "path", "entity_id", "citation") == [("P1", "z", None), ("P2", "a", "E5"), ("P3", "b", None), ("P4", "c", None), ("P5", "d", None)]
